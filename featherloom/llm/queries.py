@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, sharding
+from . import decontam, langid, neardup, packing, rules, secrets, sharding
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,12 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 16)
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "shrunk_rate"]
+    return rules.judge(docs, keep=["doc_id"]).select(*names)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
@@ -50,6 +56,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def n(kind: str):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda x: x["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        *[n(k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+        secrets.digest(F.col("secrets")).alias("spans"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
