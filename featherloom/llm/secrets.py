@@ -127,6 +127,10 @@ def _entropy_spans(candidates: str, window: int) -> Column:
     return F.filter(F.transform(candidates, judged), lambda x: x.isNotNull() & (x["e"] > x["s"]))
 
 
+def _numbered(kind: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"))
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns of docs plus `secrets`: array of struct(kind, start, end), by start and then kind in the order of KINDS.
 
@@ -138,10 +142,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW)
     for kind, (pattern, group, least) in BASE.items():
         df = _with_spans(df, t, f"__{kind}", pattern, group, least)
     df = _with_spans(df, t, "__candidates", CANDIDATE, 0, 0)
-    base = F.concat(*[F.transform(f"__{k}", lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(BASE)])
+    base = F.concat(*[F.transform(f"__{k}", _numbered(i)) for i, k in enumerate(BASE)])
     df = df.withColumn("__base", base).withColumn("__more", F.when(F.size("__candidates") > 0, _entropy_spans("__candidates", window)))
     alone = F.filter("__more", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    more = F.transform(alone, lambda x: F.struct(x["s"].alias("s"), F.lit(len(BASE)).alias("k"), x["e"].alias("e")))
+    more = F.transform(alone, _numbered(len(BASE)))
     every = F.array_sort(F.concat("__base", F.coalesce(more, F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     names = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform(every, lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["s"].alias("start"), x["e"].alias("end")))
