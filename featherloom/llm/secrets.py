@@ -114,7 +114,7 @@ def _entropy_spans(candidates: str, window: int) -> Column:
 
         none = F.array_repeat(F.lit(-1), window)
         moves = F.zip_with(places, F.slice(F.concat(none, places), F.lit(1), F.size(places)), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
-        return F.aggregate(moves, start, step, lambda st: F.struct((x["s"] + st["lo"]).alias("s"), (x["s"] + st["hi"]).alias("e")))
+        return F.aggregate(moves, start, step, lambda st: F.when(st["hi"] > 0, F.struct((x["s"] + st["lo"]).alias("s"), (x["s"] + st["hi"]).alias("e"))))
 
     def judged(x: Column) -> Column:
         out = F.lit(None).cast("struct<s:int,e:int>")
@@ -124,7 +124,7 @@ def _entropy_spans(candidates: str, window: int) -> Column:
             out = F.when(~x["m"].rlike(pattern), out)
         return out
 
-    return F.filter(F.transform(candidates, judged), lambda x: x.isNotNull() & (x["e"] > x["s"]))
+    return F.filter(F.transform(candidates, judged), lambda x: x.isNotNull())
 
 
 def _numbered(kind: int):
