@@ -7,6 +7,7 @@ increase the sum of squared fills, until bins empty. Bins that stay open are pac
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,37 +26,90 @@ GROUP = 8192
 #: Bins with more than this share of the capacity free are packed again across groups.
 OPEN = 0.02
 #: Chunks of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
+_PUNCTUATION = b".,;:!?"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKENIZERS: dict[str, object] = {}
 _IDS: dict[str, dict[bytes, bytes]] = {}
 
 
 def tokenizer(path: str):
+    """The tokenizer, and for each id whether its token ends a word."""
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are busy with other tasks
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = t, np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
     return _TOKENIZERS[path]
 
 
+def _plain(word: str) -> bool:
+    """One word to the tokenizer: letters that its normalisation leaves letters."""
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
+def _encode_plain(words: list[str], path: str) -> list[bytes]:
+    """Ids of words that are one word each to the tokenizer, many in a call, parted after the tokens that end a word."""
+    t, ends = tokenizer(path)
+    out = []
+    for i in range(0, len(words), 1000):
+        some = words[i : i + 1000]
+        ids = np.array(t.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) != len(some):
+            out += _encode(some, path)
+            continue
+        raw, stops = ids.tobytes(), (4 * at).tolist()
+        out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+    return out
+
+
+def _encode(words: list[str], path: str) -> list[bytes]:
+    encoded = tokenizer(path)[0].encode_batch_fast(words, add_special_tokens=False)
+    return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
+def learn_parts(missing: list[bytes], known: dict[bytes, bytes], path: str) -> None:
+    """Add the ids of parts to `known`. Letters before ASCII punctuation at the end of a part are a word of their own."""
+    cores, tails, whole = {}, {}, []
+    for w in missing:
+        core = w.rstrip(_PUNCTUATION)
+        word = core.decode("utf-8", "surrogatepass")
+        if _plain(word):
+            cores.setdefault(core, word)
+            if len(core) < len(w):
+                tails[w[len(core) :]] = None
+        else:
+            whole.append(w)
+    cores = {k: v for k, v in cores.items() if k not in known}
+    ids = dict(zip(cores, _encode_plain(list(cores.values()), path), strict=True))
+    other = [*whole, *(t for t in tails if t not in known)]
+    ids |= zip(other, _encode([w.decode("utf-8", "surrogatepass") for w in other], path), strict=True)
+    known |= ids
+    for w in missing:
+        if w not in known:
+            core = w.rstrip(_PUNCTUATION)
+            known[w] = known[core] + known[w[len(core) :]]
+
+
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each whole text and the end id, as little-endian unsigned 32-bit integers.
 
-    The vocabulary drops white space and never joins what white space parts, so that the ids of a text are those of its
-    parts between ASCII white space, one after the other; ids of parts are kept from text to text.
+    The vocabulary is for lower case, drops white space and never joins what white space parts, so that the ids of a
+    text are those of its parts between ASCII white space, one after the other; ids of parts are kept from text to text.
     """
     known = _IDS.setdefault(path, {})
     end = END_ID.to_bytes(4, "little")
-    parts = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    missing = list({w for p in parts for w in p if w not in known})
+    # a special token's string is recognised before letters are made lower-case, so that texts with one stay as they are
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    parts = [(r if b"<|" in r else r.translate(_LOWER)).split() for r in raw]
+    missing = set().union(*parts).difference(known)
     if len(known) + len(missing) > CACHE:
         known.clear()
-        missing = list({w for p in parts for w in p})
-    for i in range(0, len(missing), 10_000):
-        some = missing[i : i + 10_000]
-        for w, e in zip(some, tokenizer(path).encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in p]) + end for p in parts]
+        missing = set().union(*parts)
+    learn_parts(list(missing), known, path)
+    return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
 
 def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
