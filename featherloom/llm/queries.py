@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, rules, secrets, sharding
+from . import chat, decontam, langid, lmscore, neardup, packing, pii, rules, secrets, sharding
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,6 +45,11 @@ def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.cross_entropy_difference(read_table(spark, sf_dir, "documents"), target)
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 16)
 
