@@ -10,6 +10,7 @@ confirmed on their full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ MATCHES = 40
 CACHE = 1_000_000
 #: Shingles whose hash functions are computed at a time.
 CHUNK = 4096
-#: Rounds in which the members of a bucket are compared with one leader only.
-LEADER_ROUNDS = 2
+#: Candidates that may be sent to all executors (some 50 bytes each), so that texts need not be shuffled; more are joined.
+BROADCAST_NODES = 500_000
+#: Nodes that a rare shingle stands in, at most.
+RARE = 24
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -122,15 +125,58 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def _other_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket whose members lie in different components: those outside the bucket's largest component
-    with each other and with its members."""
+def _open_buckets(postings: DataFrame) -> DataFrame:
+    """(token, major): buckets with members in several components and pairs that are not compared yet; major is the largest."""
     groups = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    major = groups.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("g"), F.count("*").alias("comps"), F.sum("k").alias("size")).where("comps > 1 and size > 2")
-    known = postings.join(major.select("token", F.col("g.comp").alias("major")), "token")
-    rest = known.where("comp != major").select("token", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("na"))
-    pairs = rest.join(known.select("token", "node", "comp", F.col("n").alias("nb"), "major"), "token")
-    return _ordered(pairs.where("comp != xc and (comp = major or x < node)").where(_comparable(percent)))
+    major = groups.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("g"), F.count("*").alias("comps"), F.sum("k").alias("size"))
+    return major.where("comps > 1 and size > 2").select("token", F.col("g.comp").alias("major"))
+
+
+def _center_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Members of a bucket outside of its largest component, with the most central node of that component."""
+    centers = postings.groupBy("comp").agg(F.max(F.struct("near", F.negative("node").alias("m"), "n")).alias("c"))
+    rest = postings.join(_open_buckets(postings), "token").where("comp != major").select("node", F.col("n").alias("nb"), "major").distinct()
+    pairs = rest.join(centers.withColumnRenamed("comp", "major"), "major").select(F.negative("c.m").alias("x"), "node", F.col("c.n").alias("na"), "nb")
+    return _ordered(pairs.where(_comparable(percent)))
+
+
+def _spread(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, comp, h, f, abroad): the shingles of each node that others have too, in how many nodes, and whether in nodes of
+    several components."""
+    each = sets.join(nodes.select("node", "comp"), "node").select("node", "comp", F.explode("set").alias("h"))
+    known = each.groupBy("h").agg(F.count("*").alias("f"), (F.min("comp") != F.max("comp")).alias("abroad")).where("f > 1")
+    return each.join(known, "h")
+
+
+def _measures(spread: DataFrame) -> DataFrame:
+    """(node, near, hot): how often a node's shingles stand in all nodes, and how many of them are frequent and stand in
+    nodes of another component too."""
+    return spread.groupBy("node").agg(F.sum("f").alias("near"), F.sum((F.col("abroad") & (F.col("f") > RARE)).cast("long")).alias("hot"))
+
+
+def _enough(common: str, percent: int) -> str:
+    return f"100 * ({common}) >= {percent} * (na + nb - ({common}))"
+
+
+def _other_pairs(postings: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can be similar enough.
+
+    A pair has at most as many frequent shingles in common as the one with fewer has, and its rare ones in common are found
+    by joining the rare shingles, whose lists are short. So pairs with rare shingles in common come from that join, with their
+    number; all others come from the open buckets: members outside of the largest component with each other and with its
+    members, as far as their frequent shingles alone are enough.
+    """
+    able = postings.where(f"100 * hot >= {percent} * n")
+    known = able.join(_open_buckets(able), "token")
+    rest = known.where("comp != major").select("token", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("na"), F.col("hot").alias("ha"))
+    pairs = rest.join(known.select("token", "node", "comp", F.col("n").alias("nb"), F.col("hot").alias("hb"), "major"), "token")
+    by_hot = pairs.where(f"comp != xc and (comp = major or x < node) and {_comparable(percent)} and {_enough('least(ha, hb)', percent)}")
+    rare = spread.where(F.col("abroad") & (F.col("f") <= RARE)).select("h", "node", "comp")
+    met = rare.select("h", F.col("node").alias("x"), F.col("comp").alias("xc")).join(rare, "h").where("x < node and comp != xc").groupBy("x", "node").agg(F.count("*").alias("k"))
+    size = postings.select("node", "n", "hot").distinct()
+    met = met.join(size.withColumnsRenamed({"node": "x", "n": "na", "hot": "ha"}), "x").join(size.withColumnsRenamed({"n": "nb", "hot": "hb"}), "node")
+    by_rare = met.where(f"{_comparable(percent)} and {_enough('least(ha, hb) + k', percent)}")
+    return _ordered(by_hot.select("x", "node").unionByName(by_rare.select("x", "node")))
 
 
 def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -149,7 +195,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, set): full sets of the classes in `nodes`, from the text of one document of each."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("id"), "set_hash")
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(wanted, "id")
+    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).join(F.broadcast(wanted) if few else wanted, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +212,16 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, te
     return source.select("t", "node", "set_hash").mapInArrow(run, "node long, set array<long>")
 
 
+def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame | None:
+    """The pairs that collide often enough and are similar enough as full sets; None if there are none to compare."""
+    pairs = cut(_colliding(pairs, classes))
+    if pairs.isEmpty():
+        return None
+    if sets is None:
+        sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), id_col, text_col, width)
+    return cut(_confirmed(pairs, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -173,8 +230,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class and are compared once; repeated rows get equal results. A row with a null id takes part in linking and
     takes its group's id (null if the group has none); it is not kept. An empty table gives an empty table.
 
-    Members of a bucket are first compared with the bucket's most central member; once that has joined the large groups,
-    only pairs from different components are left to compare, so that no group of copies is compared pair by pair.
+    Members of a bucket are first compared with the bucket's most central member, and those left over with the center of the
+    bucket's largest component, which joins the large groups. What is left are pairs from different components; those
+    are compared that have enough shingles which others have too to leave room for a link. So no group of copies is compared pair by pair, and no pair that may be linked is left out.
     """
     if not 64 * percent >= 100 * MATCHES:
         raise ValueError("the match threshold suits similarities of about 0.8 and above")
@@ -186,19 +244,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("node", F.monotonically_increasing_id())
     )
     postings = cut(_prefix(classes))
-    links = None
-    comp = None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = postings.withColumn("comp", F.col("node")) if comp is None else postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pairs = _leader_pairs(now, percent) if turn < LEADER_ROUNDS else _other_pairs(now, percent)
-        pairs = cut(_colliding(pairs, classes))
-        if pairs.isEmpty():
-            continue
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = _sets(docs, classes, nodes, id_col, text_col, width)
-        found = cut(_confirmed(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        comp = cut(components(links))
+    own = (id_col, text_col, width, percent)
+    now, comp, sets = postings.withColumn("comp", F.col("node")), None, None
+    for step in (_leader_pairs, _center_pairs, _other_pairs):
+        if step is not _leader_pairs:
+            now = now if comp is None else postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = cut(now.join(_open_buckets(now).select("token"), "token", "left_semi"))
+            if now.isEmpty():
+                break
+            nodes = now.select("node", "comp").distinct()
+            sets = cut(_sets(docs, classes, nodes.select("node"), id_col, text_col, width)) if sets is None else sets
+            spread = cut(_spread(nodes, sets))
+            now = now.join(_measures(spread), "node")
+            postings = now.drop("comp", "near", "hot")
+        pairs = _other_pairs(now, spread, percent) if step is _other_pairs else step(now, percent)
+        links = _confirm(docs, classes, pairs, *own, sets)
+        if links is not None:
+            known = [] if comp is None else [comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))]
+            comp = cut(components(reduce(DataFrame.unionByName, known, links)))
     ids = classes.select("set_hash", "node", "rep")
     if comp is None:
         named = ids.select("set_hash", F.col("rep").alias("component_id"))
