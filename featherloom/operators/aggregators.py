@@ -8,16 +8,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import TYPES
 
 Agg = Callable[[Column, Column, Column], Column]
-EARTH_KM = 6371.0087714
-#: Upper ends in miles of the accuracies of a location: 1 is the most accurate.
-ACCURACY_MILES = [0.0, 0.005, 0.02, 0.1, 0.5, 2.5, 5.0, 10.0, 50.0, 200.0, 1000.0]
+# Semi-axes of the WGS84 ellipsoid in mean earth radii, the mean radius in miles, and the ranges in miles of the
+# grades of accuracy of a location (0 is unknown: half the equator).
+AXIS_AB, AXIS_C = 1.0011188539924791, 0.9977622539852008
+EARTH_MILES = 3959.0
+ACCURACY_MILES = {1: 0.005, 2: 0.02, 3: 0.05, 4: 0.15, 5: 0.4, 6: 1.2, 7: 3.0, 8: 12.0, 9: 40.0, 10: 150.0, 0: 12450.5}
+
+
+@dataclass(frozen=True)
+class ByKey:
+    """Aggregates the entries of maps (or the elements of vectors) key by key: entries() takes a value apart into an array of
+    struct(key, value), `value` aggregates what a key has, present() puts the sorted array of results together. Rows are
+    aggregated by (event key, map key) first, so that no task gathers the maps of an event key."""
+
+    value: Agg
+    entries: Callable[[Column], Column] = F.map_entries
+    present: Callable[[Column], Column] = F.map_from_entries
 
 
 def _ordered(v: Column, ts: Column, tie: Column) -> Column:
@@ -109,31 +123,39 @@ def most_of_list(v, ts, tie):
     return F.when(x.isNotNull(), F.array(x))
 
 
-def sum_vector(v, ts, tie):
-    """Element-wise sum; vectors of different lengths are an error."""
-    sizes = F.collect_set(F.size(v))
-    rows = F.collect_list(v)
-    added = F.aggregate(rows, F.array_repeat(F.lit(0.0), F.array_max(sizes)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return F.when(F.size(sizes) > 1, F.raise_error(F.lit("vectors of different lengths"))).otherwise(added)
+def _elements(v: Column) -> Column:
+    return F.transform(v, lambda x, i: F.struct(i.alias("key"), x.alias("value")))
+
+
+#: Element-wise sum; a shorter vector has nothing to add at its missing places.
+sum_vector = ByKey(total, _elements, lambda e: F.transform(e, lambda x: x["value"]))
 
 
 def _xyz(v: Column) -> tuple[Column, Column, Column]:
+    """The point of the ellipsoid in the direction of a location, in mean earth radii."""
     lat, lon = F.radians(F.get(v, F.lit(0))), F.radians(F.get(v, F.lit(1)))
-    return F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+    x, y, z = F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+    far = 1 / F.sqrt((x * x + y * y) / AXIS_AB**2 + z * z / AXIS_C**2)
+    return x * far, y * far, z * far
+
+
+def _graded(c: Column, pairs) -> Column:
+    out = F.lit(None).cast("double")
+    for test, value in reversed(list(pairs)):
+        out = F.when(test(c), F.lit(float(value))).otherwise(out)
+    return out
 
 
 def midpoint(v, ts, tie):
-    """Mean direction of the points on a sphere; its accuracy is that of the box that holds them, at least the least
-    accurate of theirs."""
-    x, y, z = (F.avg(c) for c in _xyz(v))
+    """Mean of the points, put back on the surface. Its accuracy is the finest grade that spans the box of all points with
+    their own ranges (the box's height does not count the ranges)."""
+    half = _graded(F.get(v, F.lit(2)), [(lambda c, g=g: c == g, m / EARTH_MILES / 2) for g, m in ACCURACY_MILES.items()])
+    x, y, z = _xyz(v)
+    width = F.greatest(F.max(x + half) - F.min(x - half), F.max(y + half) - F.min(y - half), F.max(z - half) - F.min(z - half))
+    grade = F.coalesce(_graded(width * EARTH_MILES * 0.99, [(lambda c, m=m: c <= m, g) for g, m in ACCURACY_MILES.items()]), F.lit(0.0))
+    x, y, z = F.avg(x), F.avg(y), F.avg(z)
     lat, lon = F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
-    spans = [F.max(c) - F.min(c) for c in _xyz(v)]
-    miles = F.sqrt(sum((s * s for s in spans), F.lit(0.0))) * (EARTH_KM * 0.621371 / 2)
-    grade = F.lit(float(len(ACCURACY_MILES) - 1))
-    for i in range(len(ACCURACY_MILES) - 1, 0, -1):
-        grade = F.when(miles <= ACCURACY_MILES[i], F.lit(float(i))).otherwise(grade)
-    accuracy = F.greatest(F.max(F.get(v, F.lit(2))), F.when(miles > 0, grade).otherwise(F.lit(0.0)))
-    return F.when(F.count(v) > 0, F.array(lat, lon, accuracy))
+    return F.when(F.count(v) > 0, F.array(lat, lon, grade))
 
 
 def first(v, ts, tie):
@@ -146,54 +168,17 @@ def last(v, ts, tie):
     return F.max_by(v, F.when(v.isNotNull() & (ts > 0), F.struct(ts, -tie)))
 
 
-def _by_map_key(fold: Callable[[Column], Column]) -> Agg:
-    """Aggregate the values of each key of the events' maps; fold takes the array of a key's values in event order."""
-
-    def agg(v, ts, tie):
-        entries = F.flatten(F.transform(_ordered(v, ts, tie), F.map_entries))
-        keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-        values = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
-        out = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, fold(values(k)))))
-        return F.when(F.size(keys) > 0, out)
-
-    return agg
-
-
-def _sum(x: Column, zero) -> Column:
-    return F.aggregate(x, F.lit(zero), lambda a, b: a + b)
-
-
-def _mean(x: Column) -> Column:
-    return _sum(x, 0.0) / F.size(x)
-
-
-def _midpoint_of(points: Column) -> Column:
-    x, y, z = (_sum(F.transform(points, _axis(k)), 0.0) / F.size(points) for k in range(3))
-    worst = F.array_max(F.transform(points, lambda p: F.get(p, F.lit(2))))
-    return F.array(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x)), worst)
+sum_map, mean_map, mean_percent_map = ByKey(total), ByKey(mean), ByKey(mean_percent)
+min_map, max_map, or_map = ByKey(least), ByKey(most), ByKey(any_true)
+set_map, midpoint_map = ByKey(union_set), ByKey(midpoint)
 
 
-def _axis(k: int) -> Callable[[Column], Column]:
-    return lambda p: _xyz(p)[k]
+def concat_map(sep: str) -> ByKey:
+    return ByKey(concat(sep))
 
 
-sum_map = _by_map_key(lambda x: _sum(x, 0.0))
-sum_long_map = _by_map_key(lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b))
-mean_map = _by_map_key(_mean)
-mean_percent_map = _by_map_key(lambda x: _mean(F.transform(x, _clamped)))
-min_map = _by_map_key(F.array_min)
-max_map = _by_map_key(F.array_max)
-or_map = _by_map_key(F.array_max)
-set_map = _by_map_key(lambda x: F.array_sort(F.array_distinct(F.flatten(x))))
-midpoint_map = _by_map_key(_midpoint_of)
-
-
-def concat_map(sep: str) -> Agg:
-    return _by_map_key(lambda x: F.array_join(F.filter(x, lambda s: s != ""), sep))
-
-
-def _registry() -> dict[str, Agg]:
-    out: dict[str, Agg] = {"SumReal": total, "SumCurrency": total, "SumIntegral": total, "SumRealNN": total_nn}
+def _registry() -> dict[str, Agg | ByKey]:
+    out: dict[str, Agg | ByKey] = {"SumReal": total, "SumCurrency": total, "SumIntegral": total, "SumRealNN": total_nn}
     for n in ("Real", "Currency", "Integral", "Date", "DateTime"):
         out |= {f"Max{n}": most, f"Min{n}": least}
     out |= {"MaxRealNN": most_nn, "MinRealNN": least_nn, "MeanReal": mean, "MeanRealNN": mean_nn, "MeanCurrency": mean, "MeanPercent": mean_percent}
@@ -206,7 +191,7 @@ def _registry() -> dict[str, Agg]:
     for n in ("DateList", "DateTimeList"):
         out |= {f"Max{n}": most_of_list, f"Min{n}": least_of_list}
     out |= {"CombineVector": concat_list, "SumVector": sum_vector, "GeolocationMidpoint": midpoint}
-    out |= {"UnionCurrencyMap": sum_map, "UnionRealMap": sum_map, "UnionIntegralMap": sum_long_map}
+    out |= {"UnionCurrencyMap": sum_map, "UnionRealMap": sum_map, "UnionIntegralMap": sum_map}
     out |= {"UnionMeanCurrencyMap": mean_map, "UnionMeanRealMap": mean_map, "UnionMeanPercentMap": mean_percent_map, "UnionMeanPrediction": mean_map}
     for n in ("Real", "Currency", "Integral", "Date", "DateTime"):
         out |= {f"UnionMax{n}Map": max_map, f"UnionMin{n}Map": min_map}
@@ -223,7 +208,7 @@ def _registry() -> dict[str, Agg]:
 AGGREGATORS = _registry()
 
 
-def default_aggregator(ftype: str) -> Agg:
+def default_aggregator(ftype: str) -> Agg | ByKey:
     return AGGREGATORS[TYPES[ftype].aggregator]
 
 
@@ -234,3 +219,20 @@ def custom(zero, plus: Callable[[Column, Column], Column], present: Callable[[Co
         return present(F.aggregate(_ordered(v, ts, tie), zero if isinstance(zero, Column) else F.lit(zero), plus))
 
     return agg
+
+
+def fold(rows: DataFrame, key: str, items: list[tuple[str, Agg | ByKey, Column]], ts: Column, tie: Column) -> DataFrame:
+    """(key, one column for each item (name, aggregator, value)): plain aggregators share one aggregation; each key-wise one
+    has its own, by key and map key, which is joined to it on the key."""
+    plain = [a(v, ts, tie).alias(n) for n, a, v in items if not isinstance(a, ByKey)]
+    out = rows.groupBy(key).agg(*plain) if plain else rows.select(key).distinct()
+    for n, a, v in items:
+        if isinstance(a, ByKey):
+            parts = rows.select(F.col(key), ts.alias("__t"), tie.alias("__i"), F.explode(a.entries(v)).alias("__e"))
+            value = F.col("__e.value")
+            one = parts.groupBy(key, F.col("__e.key").alias("__k")).agg(a.value(value, F.col("__t"), F.col("__i")).alias("__v"))
+            entry = F.when(F.col("__v").isNotNull(), F.struct(F.col("__k").alias("key"), F.col("__v").alias("value")))
+            whole = one.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("__x"))
+            whole = whole.select(key, F.when(F.size("__x") > 0, a.present(F.col("__x"))).alias(n))
+            out = out.join(whole, key, "left")
+    return out.select(key, *[n for n, _, _ in items])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregators import AGGREGATORS, Agg, default_aggregator
+from .aggregators import AGGREGATORS, Agg, ByKey, default_aggregator, fold
 
 DAY_MS = 86_400_000
 
@@ -49,11 +49,11 @@ class EventFeature:
     name: str
     value: Column
     ftype: str = "Real"
-    aggregator: str | Agg | None = None
+    aggregator: str | Agg | ByKey | None = None
     response: bool = False
     window_ms: int | None = None
 
-    def agg(self) -> Agg:
+    def agg(self) -> Agg | ByKey:
         if self.aggregator is None:
             return default_aggregator(self.ftype)
         return AGGREGATORS[self.aggregator] if isinstance(self.aggregator, str) else self.aggregator
@@ -74,11 +74,11 @@ def _rows(events: DataFrame, key: Column, ts: Column, tie: Column, features: lis
     return events.select(key.cast("string").alias("key"), ts.alias("ts"), tie.alias("tie"), *values)
 
 
-def _aggregates(features: list[EventFeature], cut: Column | None, predictor_ms: int | None, response_ms: int | None) -> list[Column]:
+def _items(features: list[EventFeature], cut: Column | None, predictor_ms: int | None, response_ms: int | None) -> list[tuple]:
     out = []
     for i, f in enumerate(features):
         ok = counts(f, F.col("ts"), cut, response_ms if f.response else predictor_ms)
-        out.append(f.agg()(F.when(ok, F.col(f"v{i}")), F.col("ts"), F.col("tie")).alias(f.name))
+        out.append((f.name, f.agg(), F.when(ok, F.col(f"v{i}"))))
     return out
 
 
@@ -96,7 +96,7 @@ def aggregate_events(
     the key; sums, means, extremes and the like are aggregated in part before it."""
     rows = _rows(events, key, ts, F.lit(0) if tie is None else tie, features)
     cut = None if cut_off.at is None else F.lit(cut_off.at)
-    return rows.groupBy("key").agg(*_aggregates(features, cut, predictor_window_ms, response_window_ms))
+    return fold(rows, "key", _items(features, cut, predictor_window_ms, response_window_ms), F.col("ts"), F.col("tie"))
 
 
 @dataclass(frozen=True)
@@ -135,4 +135,4 @@ def conditional_events(events: DataFrame, key: Column, ts: Column, features: lis
     else:
         cuts = cuts.withColumn("cut", F.coalesce("cut", F.lit(how.now_ms)))
     joined = rows.join(cuts, "key")
-    return joined.groupBy("key").agg(*_aggregates(features, F.col("cut"), how.predictor_window_ms, how.response_window_ms))
+    return fold(joined, "key", _items(features, F.col("cut"), how.predictor_window_ms, how.response_window_ms), F.col("ts"), F.col("tie"))

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregators import Agg
+from .aggregators import Agg, ByKey, fold, most
 
 KINDS = ("outer", "left_outer", "inner")
 
 
 def join_keyed(left: DataFrame, right: DataFrame, how: str = "outer", left_key: str = "key", right_key: str = "key", result: str = "combined") -> DataFrame:
-    """Equi-join of two frames. `combined`: the key is the left one, or the right one where that is null; `parent_child`:
-    the right key goes; `child_parent`: both stay but the right key is renamed away. Column names besides the keys differ."""
+    """Equi-join of two frames. `combined`: the key is the left one, or the right one where that is null; `parent_child` (the
+    left key meets a column of the right) and `child_parent` (the other way round): the right key goes. Column names besides
+    the keys differ."""
     if how not in KINDS:
         raise ValueError(f"joins are {', '.join(KINDS)}")
     hidden = "__right_key"
@@ -45,7 +46,7 @@ def cogroup_lists(left: DataFrame, right: DataFrame, key: str, left_value: str,
 class JoinedFeature:
     name: str
     value: Column
-    agg: Agg | None = None  # None: a value of the parent, the same in all its rows
+    agg: Agg | ByKey | None = None  # None: a value of the parent, the same in all its rows
     response: bool = False
     window_ms: int | None = None
 
@@ -54,12 +55,9 @@ def window_after_join(joined: DataFrame, key: str, condition_ms: Column, primary
     """Aggregate joined rows per key inside a window around each key's condition time. Both edges far from the condition
     are outside: predictors count cut - w < t < cut, responses cut <= t < cut + w; null times count as 0."""
     t, cut = F.coalesce(primary_ms, F.lit(0)), F.coalesce(condition_ms, F.lit(0))
-    out = []
+    items = []
     for f in features:
         w = f.window_ms if f.window_ms is not None else window_ms
         ok = (t >= cut) & (t < cut + w) if f.response else (t < cut) & (t > cut - w)
-        if f.agg is None:
-            out.append(F.max(f.value).alias(f.name))
-        else:
-            out.append(f.agg(F.when(ok, f.value), t, F.lit(0) if tie is None else tie).alias(f.name))
-    return joined.groupBy(key).agg(*out)
+        items.append((f.name, f.agg or most, F.when(ok, f.value) if f.agg else f.value))
+    return fold(joined, key, items, t, F.lit(0) if tie is None else tie)
