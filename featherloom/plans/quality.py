@@ -6,10 +6,16 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's over the rows that have both; null where one of them does not vary."""
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def sample_fraction(n: int, check: float = 1.0, lower: int = 1_000, upper: int = 1_000_000) -> float:
     return min(1.0, max(min(check, upper / n), lower / n)) if n else 1.0
 
@@ -19,35 +25,72 @@ def contingency(df: DataFrame, group: str, label: str) -> DataFrame:
     return df.groupBy(F.col(group).alias("value"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
+def _margins(table: DataFrame) -> DataFrame:
+    """The table with the sums of its rows (rn) and columns (cn)."""
+    rows = table.groupBy("value").agg(F.sum("n").alias("rn"))
+    cols = table.groupBy("label").agg(F.sum("n").alias("cn"))
+    return table.join(rows, "value").join(cols, "label")
+
+
 def cramers_v(table: DataFrame) -> DataFrame:
     """n, chi squared and Cramer's V of a table (value, label, n), without bringing it to the driver. Null with fewer than
     two rows or columns."""
-    t = table.where("n > 0")
-    rows = t.groupBy("value").agg(F.sum("n").alias("rn"))
-    cols = t.groupBy("label").agg(F.sum("n").alias("cn"))
-    shape = rows.agg(F.count("*").alias("r"), F.sum("rn").alias("total")).crossJoin(cols.agg(F.count("*").alias("c")))
+    t = _margins(table.where("n > 0"))
     # chi squared = total * (sum of n^2 / (row * column) - 1)
-    parts = t.join(rows, "value").join(cols, "label").agg(F.sum(F.col("n") * F.col("n") / (F.col("rn") * F.col("cn"))).alias("s"))
-    chi = F.col("total") * (F.col("s") - 1)
-    ok = F.least("r", "c") > 1
-    return parts.crossJoin(shape).select(
-        F.col("total").alias("n"), F.when(ok, chi).alias("chi_squared"), F.when(ok, F.sqrt(chi / F.col("total") / F.when(ok, F.least("r", "c") - 1))).alias("cramers_v")
-    )
+    one = t.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n") / (F.col("rn") * F.col("cn"))).alias("s"), F.least(F.count_distinct("value"), F.count_distinct("label")).alias("k"))
+    chi = F.greatest(F.col("total") * (F.col("s") - 1), F.lit(0.0))
+    ok = F.col("k") > 1
+    return one.select(F.col("total").alias("n"), F.when(ok, chi).alias("chi_squared"), F.when(ok, F.sqrt(chi / F.col("total") / F.when(ok, F.col("k") - 1))).alias("cramers_v"))
 
 
 def pointwise_information(table: DataFrame) -> DataFrame:
     """(value, label, n, pmi): log2 of how much likelier the pair is than chance; pairs that do not occur are not listed."""
-    rows = table.groupBy("value").agg(F.sum("n").alias("rn"))
-    cols = table.groupBy("label").agg(F.sum("n").alias("cn"))
-    total = table.agg(F.sum("n").alias("total"))
-    return table.join(rows, "value").join(cols, "label").crossJoin(total).select("value", "label", "n", F.log2(F.col("n") * F.col("total") / (F.col("rn") * F.col("cn"))).alias("pmi"))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    return _margins(table).select("value", "label", "n", F.log2(F.col("n") * F.lit(total) / (F.col("rn") * F.col("cn"))).alias("pmi"))
+
+
+def mutual_information(table: DataFrame) -> float:
+    """Sum of the pairs' shares times their pointwise information, in bits."""
+    row = pointwise_information(table).agg(F.sum(F.col("n") * F.col("pmi")), F.sum("n")).first()
+    return row[0] / row[1] if row[1] else 0.0
 
 
 def rule_confidence(table: DataFrame) -> DataFrame:
     """(value, confidence, support): the largest share of one label among the rows of a value, and the value's share."""
+    total = table.agg(F.sum("n")).first()[0] or 1
     per = table.groupBy("value").agg(F.max("n").alias("m"), F.sum("n").alias("k"))
-    total = table.agg(F.sum("n").alias("total"))
-    return per.crossJoin(total).select("value", (F.col("m") / F.col("k")).alias("confidence"), (F.col("k") / F.col("total")).alias("support"))
+    return per.select("value", (F.col("m") / F.col("k")).alias("confidence"), (F.col("k") / F.lit(total)).alias("support"))
+
+
+def set_association(df: DataFrame, values: str, label: str) -> DataFrame:
+    """(value, cramers_v) of a column of sets: each value's two-by-k table, the rows with it against those without."""
+    labels = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("cn"))
+    total = labels.agg(F.sum("cn")).first()[0] or 0
+    cells = df.select(F.explode(F.array_distinct(values)).alias("value"), F.col(label).alias("label")).groupBy("value", "label").agg(F.count("*").alias("n"))
+    # cells that do not occur count too: the sums over a value's cells are corrected for them
+    rows = cells.groupBy("value").agg(F.sum("n").alias("rn"))
+    k = labels.count()
+    t = cells.join(rows, "value").join(labels, "label")
+    out = F.lit(total) - F.col("rn")
+    with_cell = F.col("n") * F.col("n") / (F.col("rn") * F.col("cn")) + F.pow(F.col("cn") - F.col("n"), 2) / (out * F.col("cn"))
+    missing = t.groupBy("value").agg(F.sum(F.when(F.col("rn") < total, with_cell)).alias("s"), F.sum("cn").alias("seen"), F.first("rn").alias("rn"))
+    s = F.col("s") + (F.lit(total) - F.col("seen")) / (F.lit(total) - F.col("rn"))
+    chi = F.greatest(F.lit(total) * (s - 1), F.lit(0.0))
+    return missing.select("value", F.when(F.lit(k) > 1, F.sqrt(chi / total)).alias("cramers_v"))
+
+
+def correlations(df: DataFrame, names: list[str], label: str) -> DataFrame:
+    """(feature, correlation) with the label (Pearson), by one aggregation; null where nothing varies."""
+    y = F.col(label).cast("double")
+    row = df.agg(*[correlation(F.col(n), y).alias(f"c{i}") for i, n in enumerate(names)])
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, n in enumerate(names)])
+    return row.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+def vary_enough(df: DataFrame, vector: str, least: float = 1e-5) -> list[int]:
+    """Slots whose sample variance is above `least`."""
+    rows = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v")).where(F.col("v") > least)
+    return sorted(r["i"] for r in rows.collect())
 
 
 @dataclass(frozen=True)
@@ -131,7 +174,7 @@ def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = C
     with np.errstate(invalid="ignore", divide="ignore"):
         corr = rank_cov / np.outer(sd, sd)
     out = [
-        SlotStatistics(s["name"], s.get("grouping"), s.get("indicator"), mean[i], cov[i, i], ends[0, i], ends[1, i], float(corr[i, -1]))
+        SlotStatistics(s["name"], s.get("grouping"), s.get("indicator"), float(mean[i]), float(cov[i, i]), float(ends[0, i]), float(ends[1, i]), float(corr[i, -1]))
         for i, s in enumerate(slots)
     ]
     _categorical(df, vector, label, slots, out, params, n)
