@@ -24,9 +24,9 @@ def score_counts(df: DataFrame, label: str, score: str, bins: int) -> list[tuple
     """(score, positives, negatives) by falling score. More than `bins` distinct scores are gathered between quantiles; a
     gathered group goes by its least score."""
     rows = df.select(F.col(score).cast("double").alias("s"), (F.col(label) > 0).cast("long").alias("y")).where("s is not null and y is not null")
-    own = rows.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    found = own.limit(bins + 1).collect()
-    if len(found) > bins:
+    many = rows.agg(F.approx_count_distinct("s")).first()[0] > 2 * bins
+    found = [] if many else rows.groupBy("s").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
+    if many:
         edges = sorted(set(rows.agg(F.percentile_approx("s", [i / bins for i in range(bins)], 100 * bins)).first()[0]))
         at = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("s")))
         found = rows.groupBy(at.alias("b")).agg(F.min("s").alias("s"), F.sum("y").alias("p"), F.count("*").alias("n")).collect()
@@ -224,8 +224,8 @@ def log_loss(df: DataFrame, label: str = "label", probability: str = "probabilit
 
 #: name: (function of (df, label, prediction, probability) to a number, larger is better)
 METRICS = {
-    "au_roc": (lambda d, y, p, s: binary(d, y, p, s)["au_roc"], True),
-    "au_pr": (lambda d, y, p, s: binary(d, y, p, s)["au_pr"], True),
+    "au_roc": (lambda d, y, p, s: curves(score_counts(d, y, s, 1000))["au_roc"], True),
+    "au_pr": (lambda d, y, p, s: curves(score_counts(d, y, s, 1000))["au_pr"], True),
     "precision": (lambda d, y, p, s: binary(d, y, p, s)["precision"], True),
     "recall": (lambda d, y, p, s: binary(d, y, p, s)["recall"], True),
     "f1": (lambda d, y, p, s: binary(d, y, p, s)["f1"], True),

@@ -53,11 +53,11 @@ def label_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHECK = """select case when l_quantity > 25 then 1.0 else 0.0 end::double y, l_quantity q, l_discount d, case when l_quantity > 25 then 'big' when l_tax > 0.04 then 'taxed' else 'plain' end k from lineitem"""
 
 
-@query(f"""with t as ({_CHECK}) select 'q' slot, round(avg(q), 6) mean, round(var_samp(q), 4) variance, round(corr(q, y), 6) correlation, false leaks from t
-  union all select 'd', round(avg(d), 6), round(var_samp(d), 4), round(corr(d, y), 6), false from t
-  union all select 'k_k_Big', round(avg(cast(k = 'big' as double)), 6), round(var_samp(cast(k = 'big' as double)), 4), round(corr(cast(k = 'big' as double), y), 6), true from t
-  union all select 'k_k_Plain', round(avg(cast(k = 'plain' as double)), 6), round(var_samp(cast(k = 'plain' as double)), 4), round(corr(cast(k = 'plain' as double), y), 6), true from t
-  union all select 'k_k_Taxed', round(avg(cast(k = 'taxed' as double)), 6), round(var_samp(cast(k = 'taxed' as double)), 4), round(corr(cast(k = 'taxed' as double), y), 6), true from t""")
+@query(f"""with t as ({_CHECK}) select 'q' slot, round(avg(q), 4) mean, round(var_samp(q), 4) variance, round(corr(q, y), 6) correlation, false leaks from t
+  union all select 'd', round(avg(d), 4), round(var_samp(d), 4), round(corr(d, y), 6), false from t
+  union all select 'k_k_Big', round(avg(cast(k = 'big' as double)), 4), round(var_samp(cast(k = 'big' as double)), 4), round(corr(cast(k = 'big' as double), y), 6), true from t
+  union all select 'k_k_Plain', round(avg(cast(k = 'plain' as double)), 4), round(var_samp(cast(k = 'plain' as double)), 4), round(corr(cast(k = 'plain' as double), y), 6), true from t
+  union all select 'k_k_Taxed', round(avg(cast(k = 'taxed' as double)), 4), round(var_samp(cast(k = 'taxed' as double)), 4), round(corr(cast(k = 'taxed' as double), y), 6), true from t""")
 def sanity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments and correlations of the slots; a category that gives the label away is found."""
     q = F.col("l_quantity")
@@ -65,7 +65,7 @@ def sanity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select(F.when(q > 25, 1.0).otherwise(0.0).alias("y"), q.alias("q"), F.col("l_discount").alias("d"), kind.alias("k"))
     encoders = [V.fit(df, "numeric", ["q", "d"], "Real", track_nulls=False), V.fit(df, "pivot", ["k"], "PickList", track_nulls=False)]
     found, _ = quality.sanity_check(V.encode(df, encoders), "features", "y")
-    rows = [(s.name, round(s.mean, 6), round(s.variance, 4), round(s.correlation, 6), any("association" in r for r in s.reasons)) for s in found if s.indicator != V.OTHER]
+    rows = [(s.name, round(s.mean, 4), round(s.variance, 4), round(s.correlation, 6), any("association" in r for r in s.reasons)) for s in found if s.indicator != V.OTHER]
     return spark.createDataFrame(rows, "slot string, mean double, variance double, correlation double, leaks boolean")
 
 
