@@ -30,7 +30,7 @@ def _selector() -> models.Selector:
     return models.binary_selector(["LogisticRegression", "DecisionTreeClassifier"], {"LogisticRegression": {"regParam": [0.001, 0.1], "maxIter": [20]}, "DecisionTreeClassifier": {"maxDepth": [2, 4]}}, folds=2)
 
 
-@query("""select cast(o_orderkey as varchar) as key, round(o_totalprice / 1000, 6) price, case when o_orderpriority = '1-URGENT' then 1.0 else 0.0 end::double urgent, 12 slots from orders""")
+@query("""select cast(o_orderkey as varchar) as key, round(o_totalprice / 1000, 6) price, case when o_orderpriority = '1-URGENT' then 1.0 else 0.0 end::double urgent, (select cast(2 + count(distinct o_orderpriority) + 2 + count(distinct o_orderstatus) + 2 as integer) from orders) slots from orders""")
 def workflow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph of features, fitted and applied layer by layer."""
     df = _orders(spark, sf_dir)
