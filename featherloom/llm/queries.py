@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, lmscore, neardup, packing, pii, rules, secrets, sharding
 from .common import read_table
+from .oracles import ORACLES
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,7 +48,8 @@ def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lmscore.cross_entropy_difference(read_table(spark, sf_dir, "documents"), target)
+    out = lmscore.cross_entropy_difference(read_table(spark, sf_dir, "documents"), target)
+    return out.withColumns({c: F.round(c, 6) for c in ("loss_target", "loss_background", "score")})
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +58,8 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "shrunk_rate"]
-    return rules.judge(docs, keep=["doc_id"]).select(*names)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.judge(docs, keep=["doc_id"]).select(*names, F.round("shrunk_rate", 9).alias("shrunk_rate"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -109,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
