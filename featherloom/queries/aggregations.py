@@ -12,12 +12,11 @@ from .base import event_ms, query, r6, table
 #: 2024-01-16, in the middle of the events.
 CUT = 1_705_363_200_000
 _BEFORE = f"filter (where (epoch_us(ts) // 1000) < {CUT})"
-_USER = F.col("user_id")
 
 
 def _by_user(spark: SparkSession, sf_dir: str, features: list[EventFeature], cut: int | None = CUT) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return aggregate_events(events, _USER, event_ms(), features, CutOff(cut), F.col("event_id"))
+    return aggregate_events(events, F.col("user_id"), event_ms(), features, CutOff(cut), F.col("event_id"))
 
 
 def _v(kind: str | None = None):
@@ -56,7 +55,7 @@ def agg_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("event_id % 7 = 0")
     kind = F.col("event_type")
     s = F.when(kind != "view", kind).otherwise("")
-    out = aggregate_events(events, _USER, event_ms(), [
+    out = aggregate_events(events, F.col("user_id"), event_ms(), [
         EventFeature("texts", s, "Text"), EventFeature("areas", s, "Country"), EventFeature("mode", kind, "PickList"),
         EventFeature("kinds", F.array(kind), "MultiPickList"), EventFeature("listed", F.array(kind, F.col("event_id").cast("string")), "TextList"),
     ], CutOff(CUT), F.col("event_id"))
