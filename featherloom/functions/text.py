@@ -135,3 +135,65 @@ def name_share(c: Column, names: list[str]) -> Column:
     words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
     known = F.filter(words, lambda w: w.isin(*[n.lower() for n in names]))
     return F.when(F.size(words) > 0, F.size(known) / F.size(words)).otherwise(0.0)
+
+
+#: Languages of the stop-word lists that Spark brings, by code.
+LANGUAGES = {
+    "da": "danish", "nl": "dutch", "en": "english", "fi": "finnish", "fr": "french", "de": "german", "hu": "hungarian", "it": "italian", "no": "norwegian", "pt": "portuguese",
+    "ru": "russian", "es": "spanish", "sv": "swedish", "tr": "turkish",
+}
+#: Entities that have a form: tag and pattern. Others come from a dictionary.
+ENTITY_PATTERNS = {
+    "Date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b",
+    "Time": r"\b\d{1,2}:\d{2}(?::\d{2})?\b",
+    "Money": r"[$€£]\s?\d[\d.,]*\d|[$€£]\s?\d",
+    "Percentage": r"\b\d+(?:[.,]\d+)?\s?%",
+}
+
+
+def stop_words_of(language: str) -> tuple[str, ...]:
+    """Spark's stop words of a language, by code; needs a session."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(w for w in StopWordsRemover.loadDefaultStopWords(LANGUAGES[language]) if w)
+
+
+def tokenize_language(c: Column, language: str, min_length: int = 1) -> Column:
+    """Tokens without the stop words of a language."""
+    return tokenize(c, min_length, stop_words=stop_words_of(language))
+
+
+def detect_languages(c: Column, languages: tuple[str, ...] = tuple(LANGUAGES)) -> Column:
+    """Language to confidence: how the words that are stop words of some language are shared out among the languages. Null if
+    there are none. Everything stays in the JVM; other detectors can be plugged in by `map`."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}']+"), F.lit(0))
+    hits = F.array(*[F.struct(F.lit(k).alias("key"), F.size(F.filter(words, _within(stop_words_of(k)))).cast("double").alias("n")) for k in languages])
+    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["n"])
+    some = F.filter(hits, lambda x: x["n"] > 0)
+    return F.when(F.size(some) > 0, F.map_from_entries(F.transform(some, lambda x: F.struct(x["key"], (x["n"] / total).alias("value")))))
+
+
+def _within(words: tuple[str, ...]):
+    return lambda w: w.isin(*words)
+
+
+def recognize_entities(c: Column, dictionary: dict[str, str] | None = None) -> Column:
+    """Token to its tags: dates, times, money and percentages by form; words of the dictionary (in lower case) by its tags."""
+    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), _tagged(tag)) for tag, p in ENTITY_PATTERNS.items()]
+    by_tag: dict[str, list[str]] = {}
+    for word, tag in (dictionary or {}).items():
+        by_tag.setdefault(tag, []).append(word.lower())
+    words = F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
+    found += [F.transform(F.filter(words, _known(own)), _tagged(tag)) for tag, own in by_tag.items()]
+    pairs = F.array_distinct(F.flatten(F.array(*found)))
+    tokens = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
+    tags = lambda t: F.array_sort(F.transform(F.filter(pairs, lambda p: p["k"] == t), lambda p: p["v"]))
+    return F.when(F.size(tokens) > 0, F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, tags(t)))))
+
+
+def _tagged(tag: str):
+    return lambda t: F.struct(t.alias("k"), F.lit(tag).alias("v"))
+
+
+def _known(words: list[str]):
+    return lambda w: F.lower(w).isin(*words)

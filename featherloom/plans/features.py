@@ -103,6 +103,49 @@ OPERATORS["combine"] = Operator("OPVector", frame=lambda df, names, p, s, out: V
 OPERATORS["sanity_check"] = Operator("OPVector", fit=_fit_check, frame=lambda df, names, p, s, out: V.keep_slots(df, s["keep"], names[1], out))
 OPERATORS["filter_min_variance"] = Operator("OPVector", fit=lambda df, v, least=1e-5: {"keep": quality.vary_enough(df, v, least)}, frame=lambda df, names, p, s, out: V.keep_slots(df, s["keep"], names[0], out))
 
+#: Spark ML stages by a short name: class, input parameter, whether the input and the output are vectors.
+ML_STAGES = {
+    "tf": ("pyspark.ml.feature.HashingTF", False, True),
+    "idf": ("pyspark.ml.feature.IDF", True, True),
+    "count_vec": ("pyspark.ml.feature.CountVectorizer", False, True),
+    "word2vec": ("pyspark.ml.feature.Word2Vec", False, True),
+    "lda": ("pyspark.ml.clustering.LDA", True, True),
+    "ml_ngram": ("pyspark.ml.feature.NGram", False, False),
+    "ml_stop_words": ("pyspark.ml.feature.StopWordsRemover", False, False),
+    "string_index": ("pyspark.ml.feature.StringIndexer", False, False),
+}
+
+
+def ml_stage(name: str, params: dict):
+    """A Spark ML stage, its input and output columns named as the wrappers expect."""
+    from importlib import import_module
+
+    module, _, cls = ML_STAGES[name][0].rpartition(".")
+    kind = getattr(import_module(module), cls)
+    ends = {"featuresCol": "__in", "topicDistributionCol": "__out"} if name == "lda" else {"inputCol": "__in", "outputCol": "__out"}
+    return kind(**ends, **params)
+
+
+def ml_transform(model, name: str, df: DataFrame, source: str, out: str) -> DataFrame:
+    """df with the stage's output; vectors are arrays of doubles outside. An absent list counts as an empty one."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    _, vector_in, vector_out = ML_STAGES[name]
+    c = F.col(f"`{source}`")
+    if vector_in:
+        c = array_to_vector(c)
+    elif dict(df.dtypes)[source].startswith("array"):
+        c = F.coalesce(c, F.array().cast("array<string>"))
+    made = model.transform(df.withColumn("__in", c))
+    return made.withColumn(out, vector_to_array("__out") if vector_out else F.col("__out")).drop("__in", "__out")
+
+
+for _name, (_, _, _vector) in ML_STAGES.items():
+    OPERATORS[_name] = Operator("OPVector" if _vector else "RealNN" if _name == "string_index" else "TextList")
+_plain("detect_languages", "RealMap", text.detect_languages)
+_plain("recognize_entities", "MultiPickListMap", text.recognize_entities)
+_plain("tokenize_language", "TextList", text.tokenize_language)
+
 #: Functions of one's own by name, for the `map` operator.
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
 OPERATORS["map"] = Operator("Real", lambda *c, state=None, function, ftype="Real": FUNCTIONS[function](*c))
@@ -161,6 +204,9 @@ class Feature:
         """Tree buckets against a label. The label is read from the training data and is no input when scoring."""
         return self.apply("vectorize", kind="map_tree" if self.ftype.endswith("Map") else "tree", ftype=self.ftype, label=label.name, **options)
 
+    def tfidf(self, terms: int = V.HASHES, min_documents: int = 0, binary: bool = False) -> Feature:
+        return self.apply("tf", numFeatures=terms, binary=binary).apply("idf", minDocFreq=min_documents)
+
     def ancestors(self) -> list[Feature]:
         """All features that this one comes from, itself last; a cycle cannot be made."""
         seen: dict[int, Feature] = {}
@@ -258,6 +304,8 @@ class Fitted:
     def frame(self, df: DataFrame) -> DataFrame:
         if self.operator == "select_model":
             return models.predict(self.model, df, self.inputs[1], self.name)
+        if self.operator in ML_STAGES:
+            return ml_transform(self.model, self.operator, df, self.inputs[0], self.name)
         return OPERATORS[self.operator].frame(df, self.inputs, self.params, self.state, self.name)
 
 
@@ -307,6 +355,14 @@ class Workflow:
             slots = df.schema[names[1]].metadata.get("slots", [])
             state = {"insights": insights.model_insights(chosen, slots), "slots": slots}
             return Fitted(f.name, f.ftype, f.operator, names, {}, state, chosen.model)
+        if f.operator in ML_STAGES:
+            from pyspark.ml.functions import array_to_vector
+
+            stage = ml_stage(f.operator, f.params)
+            c = F.col(f"`{names[0]}`")
+            c = array_to_vector(c) if ML_STAGES[f.operator][1] else F.coalesce(c, F.array().cast("array<string>")) if TYPES[f.inputs[0].ftype].family == "list" else c
+            model = stage.fit(df.select(c.alias("__in"))) if hasattr(stage, "fit") else stage
+            return Fitted(f.name, f.ftype, f.operator, names, f.params, {}, model)
         learn = OPERATORS[f.operator].fit
         return Fitted(f.name, f.ftype, f.operator, names, f.params, learn(df, *names, **f.params) if learn else {})
 

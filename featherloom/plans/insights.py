@@ -59,9 +59,10 @@ def ascii_table(columns: list[str], rows: list[list], name: str = "", align: str
     return "\n".join([bar, *head, line(columns), bar, *map(line, text), bar])
 
 
-def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_K, groups: list[str] | None = None, by_sign: bool = False) -> DataFrame:
+def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_K, groups: list[str] | None = None, by_sign: bool = False, average: bool = False) -> DataFrame:
     """(key, insights): for each record the slots, or groups of slots (hashed texts, dates), whose absence moves the score most:
-    array of struct(slot, difference) of the top_k by size, or with by_sign of the top_k of each sign.
+    array of struct(slot, difference) of the top_k by size, or with by_sign of the top_k of each sign. A group's slots are left
+    out together; with `average` one by one, and the group has the mean of its active slots.
 
     Every active slot gives one variant of the record; variants are scored by the model like rows, so that nothing is
     gathered but a record's own differences.
@@ -69,7 +70,8 @@ def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_
     slots = df.schema[vector].metadata["slots"]
     names = groups or [s["parent"] if (s.get("descriptor") or "").startswith("hash_") else s["name"] for s in slots]
     order = {n: i for i, n in enumerate(dict.fromkeys(names))}
-    member = F.array(*[F.lit(order[n]) for n in names])
+    group_of = F.array(*[F.lit(order[n]) for n in names])
+    member = F.array(*[F.lit(i) for i in range(len(names))]) if average else group_of
     v = F.col(vector)
     active = F.array_distinct(F.transform(F.filter(F.arrays_zip(v.alias("v"), member.alias("g")), lambda x: x["v"] != 0), lambda x: x["g"]))
     rows = df.select(F.col(key), v.alias("whole"), F.explode(F.concat(F.array(F.lit(-1)), active)).alias("g"))
@@ -78,7 +80,10 @@ def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_
     m = F.col("prediction")
     score = F.coalesce(F.element_at(m, F.lit("probability_1")), F.element_at(m, F.lit("prediction")))
     whole = F.max(F.when(F.col("g") < 0, F.col("score")))
-    parts = scored.select(key, "g", score.alias("score")).groupBy(key).agg(whole.alias("own"), F.collect_list(F.when(F.col("g") >= 0, F.struct("g", "score"))).alias("parts"))
+    scored = scored.select(key, "g", score.alias("score"))
+    if average:
+        scored = scored.withColumn("g", F.when(F.col("g") < 0, -1).otherwise(F.get(group_of, F.col("g")))).groupBy(key, "g").agg(F.avg("score").alias("score"))
+    parts = scored.groupBy(key).agg(whole.alias("own"), F.collect_list(F.when(F.col("g") >= 0, F.struct("g", "score"))).alias("parts"))
     label = F.array(*[F.lit(n) for n in order])
     moved = F.transform("parts", lambda p: F.struct((F.col("own") - p["score"]).alias("d"), F.get(label, p["g"]).alias("slot")))
 

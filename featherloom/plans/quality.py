@@ -107,6 +107,7 @@ class CheckParams:
     correlation: str = "pearson"
     categorical_label: bool | None = None
     remove_bad: bool = False
+    skip_hashed: bool = False  # no correlations for hash buckets
 
 
 @dataclass
@@ -173,6 +174,9 @@ def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = C
     sd = np.sqrt(np.diag(rank_cov))
     with np.errstate(invalid="ignore", divide="ignore"):
         corr = rank_cov / np.outer(sd, sd)
+    if params.skip_hashed:
+        hashed = [i for i, s in enumerate(slots) if (s.get("descriptor") or "").startswith("hash_")]
+        corr[hashed, :] = corr[:, hashed] = math.nan
     out = [
         SlotStatistics(s["name"], s.get("grouping"), s.get("indicator"), float(mean[i]), float(cov[i, i]), float(ends[0, i]), float(ends[1, i]), float(corr[i, -1]))
         for i, s in enumerate(slots)
