@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 #: Characters of text in a chunk (a longer text is a chunk of its own).
 CHUNK_CHARS = 12 << 20
@@ -32,7 +32,8 @@ BROADCAST_IDS = 2_000_000
 #: Weight of the unigram model in the bigram model, and of the uniform one in the unigram model, in tokens.
 BIGRAM_PRIOR = 4.0
 UNIGRAM_PRIOR = 0.5
-CACHE = 1_000_000
+#: Word keys that a worker keeps.
+CACHE = 300_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE = np.uint64(1)
@@ -62,58 +63,84 @@ def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Tokens of some documents: doc (of each token), word and bigram keys, the previous word's key."""
-
-    def __init__(self, texts: list[str | None]):
-        if len(_WORDS) > CACHE:
-            _WORDS.clear()
-        parts = [words(t) for t in texts]
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        n = int(self.lengths.sum())
-        self.word = np.fromiter((h for p in parts for h in map(_WORDS.__getitem__, p)), np.uint64, n)
-        self.before = np.empty(n, np.uint64)
-        self.before[1:] = self.word[:-1]
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.before[starts[self.lengths > 0]] = _START
-        self.pair = bigrams(self.before, self.word)
-        self.doc = np.repeat(np.arange(len(texts)), self.lengths)
-        self.name = xxhash.xxh3_128_hexdigest(self.word.tobytes() + self.lengths.tobytes())
-
-    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in ascending order, how often they occur, and how often in target documents. The start of a
-        document counts as a word, so that it has a count as a context."""
-        begun = self.lengths > 0
-        every = np.concatenate((self.word, self.pair, np.full(int(begun.sum()), _START)))
-        keys, n = np.unique(every, return_counts=True)
-        mine = target[self.doc]
-        some, m = np.unique(np.concatenate((self.word[mine], self.pair[mine], np.full(int((begun & target).sum()), _START))), return_counts=True)
-        out = np.zeros(len(keys), np.int64)
-        out[np.searchsorted(keys, some)] = m
-        return keys, n, out
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray]]:
-    ids, texts, target, held = [], [], [], 0
+    """Documents as one row of word keys, with their distinct words and bigrams and how often those occur."""
+
+    def __init__(self, word: np.ndarray, lengths: np.ndarray, target: np.ndarray):
+        self.word, self.lengths, self.target = word, lengths, target
+        n = len(word)
+        self.begun = lengths > 0
+        self.first = (np.cumsum(lengths) - lengths)[self.begun]
+        before = np.empty(n, np.uint64)
+        before[1:] = word[:-1]
+        before[self.first] = _START
+        pairs, at, self.pair, self.pair_n = np.unique(bigrams(before, word), return_index=True, return_inverse=True, return_counts=True)
+        words, self.word_of = np.unique(word[at], return_inverse=True)  # of each distinct bigram
+        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        #: Keys in ascending order: words, bigrams, and the start of a document, which counts as a word.
+        self.keys = np.unique(np.concatenate((words, pairs, [_START])))
+        self.pair_at, self.word_at = np.searchsorted(self.keys, pairs), np.searchsorted(self.keys, words)
+        self.start_at = int(np.searchsorted(self.keys, _START))
+        self.name = xxhash.xxh3_128_hexdigest(word.tobytes() + lengths.tobytes() + target.tobytes())
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs, and how often in target documents."""
+        mine = np.bincount(self.pair[self.target[self.doc]], minlength=len(self.pair_n))
+        out = []
+        for pair, starts in ((self.pair_n, self.begun.sum()), (mine, (self.begun & self.target).sum())):
+            n = np.zeros(len(self.keys), np.uint32)
+            n[self.pair_at] = pair
+            n[self.word_at] = np.bincount(self.word_of, pair, len(self.word_at))
+            n[self.start_at] = starts
+            out.append(n)
+        return tuple(out)
+
+    def packed(self) -> tuple[bytes, bytes]:
+        """The distinct words' keys, most frequent first, and the words as places in them."""
+        words = self.keys[self.word_at]
+        order = np.argsort(-np.bincount(self.word_of, self.pair_n, len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        return words[order].tobytes(), _press(rank[self.word_of[self.pair]])
+
+    @classmethod
+    def unpacked(cls, words: bytes, places: bytes, lengths: np.ndarray, target: np.ndarray) -> Chunk:
+        return cls(np.frombuffer(words, np.uint64)[_open(places, np.uint32)], lengths, target)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
+    """(ids, chunk): texts become word keys as they come, so that neither texts nor word objects pile up."""
+    ids, parts, target, held = [], [], [], 0
+
+    def made() -> tuple[list, Chunk]:
+        return ids, Chunk(np.concatenate([np.empty(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64), np.array(target, bool))
+
     for batch in batches:
-        for i, t, y in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            n = len(t) if t else 0
-            if ids and held + n > CHUNK_CHARS:
-                yield ids, texts, np.array(target, bool)
-                ids, texts, target, held = [], [], [], 0
-            ids.append(i)
-            texts.append(t)
-            target.append(bool(y))
-            held += n
+        for part in slices(batch, "text"):
+            for i, t, y in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), part.column("target").to_pylist(), strict=True):
+                n = len(t) if t else 0
+                if ids and held + n > CHUNK_CHARS:
+                    yield made()
+                    ids, parts, target, held = [], [], [], 0
+                w = words(t)
+                if len(_WORDS) > CACHE:
+                    _WORDS.clear()
+                ids.append(i)
+                parts.append(np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w)))
+                target.append(bool(y))
+                held += n
     if ids:
-        yield ids, texts, np.array(target, bool)
+        yield made()
 
 
 def _press(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """The array's bytes by their place in the numbers, all first bytes before all second ones: high ones are mostly alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
 def _open(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -125,22 +152,16 @@ def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _ask(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, target in _chunks(batches):
-            chunk = Chunk(texts)
-            keys, n, m = chunk.counts(target)
-            at = _bucket_edges(keys, buckets)
+        for _, chunk in _chunks(batches):
+            n, m = chunk.counts()
+            at = _bucket_edges(chunk.keys, buckets)
             own = [b for b in range(buckets) if at[b] < at[b + 1]]
-            if not own:
-                continue
-            deltas = np.diff(keys, prepend=np.uint64(0))
             cols = [[], [], []]
             for b in own:
                 s = slice(at[b], at[b + 1])
-                d = deltas[s].copy()
-                d[0] = keys[at[b]]
-                cols[0].append(d.tobytes())
-                cols[1].append(_press(n[s].astype(np.uint32)))
-                cols[2].append(_press(m[s].astype(np.uint32)))
+                cols[0].append(_press(np.diff(chunk.keys[s], prepend=np.uint64(0))))
+                cols[1].append(_press(n[s]))
+                cols[2].append(_press(m[s]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk.name] * len(own)), pa.array(own, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]],
                 names=["chunk", "bucket", "keys", "n", "m"],
@@ -152,7 +173,7 @@ def _ask(docs: DataFrame, buckets: int) -> DataFrame:
 def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts of the keys that each chunk asked for; in a row without a chunk, what the bucket adds to the totals:
     distinct words, tokens, tokens of the target."""
-    asked = [np.cumsum(np.frombuffer(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
+    asked = [np.cumsum(_open(k, np.uint64), dtype=np.uint64) for k in pdf["keys"]]
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     n = np.bincount(at, np.concatenate([_open(x, np.uint32) for x in pdf["n"]]), len(keys)).astype(np.int64)
     m = np.bincount(at, np.concatenate([_open(x, np.uint32) for x in pdf["m"]]), len(keys)).astype(np.int64)
@@ -167,31 +188,22 @@ def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _tell(docs: DataFrame, id_kind: str) -> DataFrame:
-    """A row for each chunk: its documents, and its tokens as places in its list of distinct keys."""
+    """A row for each chunk: its documents, and its words as places in the list of its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, target in _chunks(batches):
-            chunk = Chunk(texts)
-            _, at = np.unique(np.concatenate((chunk.word, chunk.pair, [_START])), return_inverse=True)
-            at = at.astype(np.uint32)
-            k = len(chunk.word)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([chunk.name]),
-                    pa.array([ids], pa.list_(batch_type)),
-                    *[pa.array([_press(x)], pa.binary()) for x in (target, chunk.lengths, at[:k], at[k : 2 * k], at[2 * k :])],
-                ],
-                names=["chunk", "ids", "target", "lengths", "word", "pair", "start"],
-            )
+        for ids, chunk in _chunks(batches):
+            keys, places = chunk.packed()
+            own = [pa.array([x], pa.binary()) for x in (_press(chunk.target), _press(chunk.lengths), keys, places)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.name]), pa.array([ids], pa.list_(batch_type)), *own], names=["chunk", "ids", "target", "lengths", "words", "places"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(run, f"chunk string, ids array<{id_kind}>, target binary, lengths binary, word binary, pair binary, start binary")
+    return docs.mapInArrow(run, f"chunk string, ids array<{id_kind}>, target binary, lengths binary, words binary, places binary")
 
 
 def losses(n: np.ndarray, own: tuple, base: tuple[float, float], vocabulary: int) -> np.ndarray:
-    """Loss of tokens in nats. n: corpus counts of (pair, context, word); own: what the document itself has of each;
+    """Loss of bigrams in nats. n: corpus counts of (pair, context, word); own: what the document itself has of each;
     base: tokens of the model's corpus, and the document's own of them."""
     pair, context, word = (np.maximum(c - o, 0) for c, o in zip(n, own, strict=True))
     total = np.maximum(base[0] - base[1], 0)
@@ -205,24 +217,24 @@ def _own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def score_chunk(target, lengths, word, pair, start, n, m, vocabulary: int, tokens: int, target_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+def score_chunk(chunk: Chunk, n: np.ndarray, m: np.ndarray, vocabulary: int, tokens: int, target_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss of each document (nan without words) under the target and the background model."""
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.cumsum(lengths) - lengths
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[first[lengths > 0]] = start
-    own_pair, own_word = _own_counts(doc, pair), _own_counts(doc, word)
+    doc, size = chunk.doc, chunk.lengths[chunk.doc]
+    word = chunk.word_of[chunk.pair]
+    own_word, own_pair = _own_counts(doc, word), _own_counts(doc, chunk.pair)
     own_before = np.empty_like(own_word)
     own_before[1:] = own_word[:-1]
-    own_before[first[lengths > 0]] = 1
-    size = lengths[doc]
+    own_before[chunk.first] = 1
+    before = np.empty(len(word), np.int64)
+    before[1:] = chunk.word_at[word[:-1]]
+    before[chunk.first] = chunk.start_at
+    at = chunk.pair_at[chunk.pair], before, chunk.word_at[word]
     own = (own_pair, own_before, own_word)
-    mine = target[doc]
-    loss_b = losses((n[pair], n[before], n[word]), own, (tokens, size), vocabulary)
-    loss_t = losses((m[pair], m[before], m[word]), tuple(o * mine for o in own), (target_tokens, size * mine), vocabulary)
+    mine = chunk.target[doc]
+    loss_b = losses(tuple(n[x] for x in at), own, (tokens, size), vocabulary)
+    loss_t = losses(tuple(m[x] for x in at), tuple(o * mine for o in own), (target_tokens, size * mine), vocabulary)
     with np.errstate(invalid="ignore"):
-        return tuple(np.bincount(doc, x, len(lengths)) / lengths for x in (loss_t, loss_b))
+        return tuple(np.bincount(doc, x, len(chunk.lengths)) / chunk.lengths for x in (loss_t, loss_b))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,12 +268,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         n, m = (np.concatenate([empty, *[_open(x, np.int64) for x in got[c]]]) for c in "nm")
         out = []
         for r in pdf[pdf["bucket"] < 0].itertuples():
-            lengths = _open(r.lengths, np.int64)
-            word, pair, start = (_open(x, np.uint32).astype(np.int64) for x in (r.word, r.pair, r.start))
-            if len(word) and len(n) != max(word.max(), pair.max(), start[0]) + 1:
+            chunk = Chunk.unpacked(r.words, r.places, _open(r.lengths, np.int64), _open(r.target, bool))
+            if len(n) != len(chunk.keys):
                 raise RuntimeError("the counts of a chunk are not complete: its rows were read in another order before")
-            t, b = score_chunk(_open(r.target, bool), lengths, word, pair, start[0], n, m, *totals)
-            out.append(pd.DataFrame({"id": pd.Series(list(r.ids), dtype=object), "n_words": lengths, "loss_target": t, "loss_background": b}))
+            t, b = score_chunk(chunk, n, m, *totals)
+            out.append(pd.DataFrame({"id": pd.Series(list(r.ids), dtype=object), "n_words": chunk.lengths, "loss_target": t, "loss_background": b}))
         return pd.concat(out)
 
     scored = both.groupBy("chunk").applyInPandas(score, f"id {kind}, n_words long, loss_target double, loss_background double")
