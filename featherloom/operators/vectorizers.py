@@ -270,9 +270,13 @@ def _smart_slots(names, ftype, state, max_cardinality=MAX_CARDINALITY, top_k=TOP
 
 
 def learn_keys(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
-    """The keys of each map column, in order."""
-    row = df.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys(_c(n)))))).alias(f"k{i}") for i, n in enumerate(names)]).first()
-    return {n: row[i] or [] for i, n in enumerate(names)}
+    """The keys of each map column, in order, by one distinct over all columns' keys."""
+    out: dict[str, list[str]] = {n: [] for n in names}
+    if names:
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.map_keys(_c(n)).alias("k")) for i, n in enumerate(names)]))
+        for r in df.select(pairs.alias("x")).select("x.f", F.explode("x.k").alias("k")).distinct().collect():
+            out[names[r["f"]]].append(r["k"])
+    return {n: sorted(k) for n, k in out.items()}
 
 
 def _at(name: str, key: str, reference_ms: int | None = None) -> Column:
@@ -526,7 +530,7 @@ def default_encoders(ftype: str, reference_ms: int, top: dict, hashes: int) -> l
     return by_family[family]
 
 
-def transmogrify(df: DataFrame, names: list[str] | None = None, *, label: str | None = None, reference_ms: int = 0, top_k: int = TOP_K, min_support: int = MIN_SUPPORT, hashes: int = HASHES) -> list[Encoder]:
+def auto_encode(df: DataFrame, names: list[str] | None = None, *, label: str | None = None, reference_ms: int = 0, top_k: int = TOP_K, min_support: int = MIN_SUPPORT, hashes: int = HASHES) -> list[Encoder]:
     """Default encoders of all columns by type, types in order of their names; with a label, numbers also get tree buckets."""
     by: dict[str, list[str]] = {}
     for f in df.schema.fields:

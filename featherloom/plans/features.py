@@ -79,9 +79,9 @@ _learned("indexed", "RealNN", lambda df, c, unseen="keep": {"labels": scalers.fi
 _learned("deindexed", "Text", lambda df, c, labels=None: {"labels": labels}, lambda c, s, labels=None: scalers.label_at(c, s["labels"]))
 
 
-def _fit_transmogrify(df: DataFrame, *names: str, label: str | None = None, **options) -> dict:
+def _fit_auto_encode(df: DataFrame, *names: str, label: str | None = None, **options) -> dict:
     typed = df.select(*[F.col(f"`{n}`") for n in (*names, *([label] if label else []))])
-    return {"encoders": [e.to_json() for e in V.transmogrify(typed, list(names), label=label, **options)]}
+    return {"encoders": [e.to_json() for e in V.auto_encode(typed, list(names), label=label, **options)]}
 
 
 def _apply_encoders(df: DataFrame, names: list[str], params: dict, state: dict, out: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _fit_check(df: DataFrame, label: str, vector: str, **params) -> dict:
     return {"keep": keep, "statistics": [s.__dict__ for s in found]}
 
 
-OPERATORS["transmogrify"] = Operator("OPVector", fit=_fit_transmogrify, frame=_apply_encoders)
+OPERATORS["auto_encode"] = Operator("OPVector", fit=_fit_auto_encode, frame=_apply_encoders)
 OPERATORS["vectorize"] = Operator("OPVector", fit=_fit_vectorize, frame=_apply_encoders)
 OPERATORS["combine"] = Operator("OPVector", frame=lambda df, names, p, s, out: V.combine(df, names, out))
 OPERATORS["sanity_check"] = Operator("OPVector", fit=_fit_check, frame=lambda df, names, p, s, out: V.keep_slots(df, s["keep"], names[1], out))
@@ -222,7 +222,7 @@ class Feature:
 
 
 #: Their outputs are predictors although an input is a response.
-LABEL_AWARE = {"sanity_check", "vectorize", "transmogrify", "to_isotonic_calibrated", "select_model"}
+LABEL_AWARE = {"sanity_check", "vectorize", "auto_encode", "to_isotonic_calibrated", "select_model"}
 
 
 def _digest(params: dict) -> str:
@@ -245,10 +245,10 @@ def from_schema(df: DataFrame, response: str) -> tuple[Feature, list[Feature]]:
     return raw(response, "RealNN", True), [raw(f.name, infer(f)) for f in df.schema.fields if f.name != response]
 
 
-def transmogrify(features: list[Feature], label: Feature | None = None, name: str = "features", **options) -> Feature:
+def auto_encode(features: list[Feature], label: Feature | None = None, name: str = "features", **options) -> Feature:
     """Default encoding of the features into one vector."""
     extra = {"label": label.name} if label else {}
-    return features[0].apply("transmogrify", *features[1:], name=name, **extra, **options)
+    return features[0].apply("auto_encode", *features[1:], name=name, **extra, **options)
 
 
 def sanity_check(label: Feature, vector: Feature, name: str = "checked", **params) -> Feature:
@@ -381,7 +381,7 @@ def without(f: Feature, blocked: set[str]) -> Feature | None:
     if all(a is b for a, b in zip(kept, f.inputs, strict=True)):
         return f
     some = tuple(x for x in kept if x is not None)
-    if f.operator not in ("transmogrify", "vectorize", "combine") and len(some) < len(f.inputs) or not some:
+    if f.operator not in ("auto_encode", "vectorize", "combine") and len(some) < len(f.inputs) or not some:
         return None
     return with_changes(f, inputs=some)
 

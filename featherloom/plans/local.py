@@ -97,7 +97,7 @@ class LocalScorer:
     def _step(self, s) -> Callable[[Record], object]:
         if s.operator in LOCAL:
             return lambda r: LOCAL[s.operator](*[r.get(n) for n in s.inputs], **s.params)
-        if s.operator in ("transmogrify", "vectorize"):
+        if s.operator in ("auto_encode", "vectorize"):
             return lambda r: [x for e in s.state["encoders"] for x in _encoder(e, r)]
         if s.operator == "combine":
             return lambda r: [x for n in s.inputs for x in r[n]]

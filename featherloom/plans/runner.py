@@ -127,10 +127,10 @@ def generate_project(df: DataFrame, response: str, key: str, name: str) -> str:
     kind = "binary" if distinct == 2 else "multi" if distinct <= 30 else "regression"
     rows = [f'    raw("{f.name}", "{infer(f)}"),' for f in df.schema.fields if f.name not in (response, key)]
     return "\n".join([
-        f'"""{name}: a {kind} model of {response}."""', "", "from featherloom.plans.features import Workflow, raw, sanity_check, select_model, transmogrify",
+        f'"""{name}: a {kind} model of {response}."""', "", "from featherloom.plans.features import Workflow, raw, sanity_check, select_model, auto_encode",
         f"from featherloom.plans.models import {kind}_selector", "from featherloom.plans.runner import Runner, main", "",
         f'label = raw("{response}", "RealNN", response=True)', "predictors = [", *rows, "]",
-        "checked = sanity_check(label, transmogrify(predictors))", f"prediction = select_model(label, checked, {kind}_selector())",
+        "checked = sanity_check(label, auto_encode(predictors))", f"prediction = select_model(label, checked, {kind}_selector())",
         f'workflow = Workflow([prediction], key="{key}")', "",
         'if __name__ == "__main__":', '    main(Runner(workflow, lambda spark, params: spark.read.parquet(params.reader_params["path"])))', "",
     ])

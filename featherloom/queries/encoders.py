@@ -158,10 +158,10 @@ def vectorize_tree_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select cast(count(*) as bigint) as n, 18 as slots, round(sum(c_acctbal), 2) balance, count(distinct c_mktsegment) segments from customer""")
-def transmogrify(spark: SparkSession, sf_dir: str) -> DataFrame:
+def auto_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default encoders of all columns by type, then a choice of slots by provenance."""
     df = table(spark, sf_dir, "customer").select("c_acctbal", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), (F.col("c_acctbal") > 0).alias("paid"))
-    out = V.encode(df, V.transmogrify(df, top_k=5))
+    out = V.encode(df, V.auto_encode(df, top_k=5))
     balance = V.drop_slots(out, lambda s: s["name"] != "c_acctbal")
     kinds = V.drop_slots(out, lambda s: s["parent"] != "c_mktsegment" or s["indicator"] in (V.OTHER, V.NULL))
     n = len(out.schema["features"].metadata["slots"])

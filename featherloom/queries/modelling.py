@@ -22,7 +22,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph() -> tuple[G.Feature, G.Feature, G.Feature]:
     label, price = G.raw("label", "RealNN", response=True), G.raw("price", "Real")
-    vector = G.transmogrify([price / 1000.0, G.raw("priority", "PickList"), G.raw("status", "PickList")], min_support=1)
+    vector = G.auto_encode([price / 1000.0, G.raw("priority", "PickList"), G.raw("status", "PickList")], min_support=1)
     return label, vector, G.sanity_check(label, vector)
 
 

@@ -23,7 +23,7 @@ def people(spark):
 @pytest.fixture(scope="module")
 def graph():
     label, x, colour = G.raw("label", "RealNN", True), G.raw("x", "Real"), G.raw("colour", "PickList")
-    vector = G.transmogrify([x * 2.0 + 1.0, colour], min_support=1)
+    vector = G.auto_encode([x * 2.0 + 1.0, colour], min_support=1)
     selector = models.binary_selector(["LogisticRegression"], {"LogisticRegression": {"regParam": [0.01, 0.1], "maxIter": [10]}}, folds=2)
     return G.select_model(label, G.sanity_check(label, vector), selector)
 
@@ -95,10 +95,10 @@ def test_runs(spark, people, graph, tmp_path):
 
 def test_encoders_of_empty_and_null_columns(spark):
     df = spark.createDataFrame([], "a double, b string, c array<string>, m map<string,double>, t map<string,string>")
-    out = V.encode(df, V.transmogrify(df, hashes=8))
+    out = V.encode(df, V.auto_encode(df, hashes=8))
     assert out.count() == 0
     nulls = spark.createDataFrame([(None,) * 5], df.schema)
-    encoders = V.transmogrify(nulls, hashes=8)
+    encoders = V.auto_encode(nulls, hashes=8)
     assert [s["name"] for s in V.encode(nulls, encoders).schema["features"].metadata["slots"]][:2]
     again = [V.Encoder(**json.loads(json.dumps(e.to_json()))) for e in encoders]
     assert V.encode(nulls, again).first()["features"] == V.encode(nulls, encoders).first()["features"]
