@@ -164,7 +164,8 @@ class Feature:
 
     def apply(self, operator: str, *others: Feature, name: str | None = None, **params) -> Feature:
         inputs = (self, *others)
-        made = name or f"{'-'.join(f.name for f in inputs)}_{operator}"[:80] + (f"_{_digest(params)}" if params else "")
+        made = name or f"{'-'.join(f.name for f in inputs)}_{operator}" + (f"_{_digest(params)}" if params else "")
+        made = made if len(made) <= 80 else f"{made[:70]}_{_digest({'name': made})}"
         return Feature(made, OPERATORS[operator].out or self.ftype, operator, inputs, params, any(f.response for f in inputs) and operator not in LABEL_AWARE)
 
     def __getattr__(self, name: str):
