@@ -76,10 +76,46 @@ f as (select k.doc_id, size, -ln((pn - po + 4 * ((wn - wo + 0.5) / (s.n - size +
 select d.doc_id, cast(len(w) as bigint) n_words, round(avg(a), 6) loss_target, round(avg(b), 6) loss_background, round(avg(a) - avg(b), 6) score from d left join f on f.doc_id = d.doc_id group by d.doc_id, len(w)
 """
 
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_BASE = (
+    (rf"({_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+    ("AKIA[A-Z0-9]+", 0, 16),
+    ("[0-9a-f]+", 0, 32),
+    ("[A-Za-z0-9+/_=-]+", 0, 20),
+)
+_MATCHES = " union all ".join(
+    f"select doc_id, {k} k, {least} least, regexp_extract_all(t, '{p}', 0) m, regexp_extract_all(t, '{p}', {g}) x, string_split_regex(t, '{p}') g from d" for k, (p, g, least) in enumerate(_BASE)
+)
+SECRETS = rf"""
+with d as (select doc_id, coalesce(text, '') t from documents), m as ({_MATCHES}),
+i as (select doc_id, k, least, unnest(list_zip(m, x, g[1 : len(m)])) z, unnest(range(1, len(m) + 1)) i from m where len(m) > 0),
+p as (select doc_id, k, least, z[1] v, length(z[2]) n, sum(length(z[3]) + length(z[1])) over (partition by doc_id, k order by i rows unbounded preceding) e from i),
+q as (select doc_id, k, v, cast(e - length(v) as bigint) s, cast(e as bigint) e from p where n >= least),
+b as (select * from q where k < 3),
+c as (select *, case when regexp_matches(v, '^[0-9a-f]+$') and regexp_matches(v, '[a-f]') then 2.9 when regexp_matches(v, '^[0-9A-F]+$') and regexp_matches(v, '[A-F]') then 2.9
+  when regexp_matches(v, '^[A-Z0-9=]+$') and regexp_matches(v, '[A-Z]') then 3.5 when regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') then 3.7 end bits from q where k = 3 and regexp_matches(v, '[0-9]')
+  and not regexp_matches(v, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') and not regexp_matches(v, '^/?([A-Za-z0-9]{{1,15}}[/_-]){{3,}}[A-Za-z0-9]{{0,15}}$')
+  and not regexp_matches(lower(v), 'example|sample|dummy|placeholder|changeme')
+  and len(list_filter(range(1, 9), lambda u: u * greatest(3, (length(v) - 8 + u - 1) // u) <= length(v) and starts_with(v, repeat(v[1 : u], cast(greatest(3, (length(v) - 8 + u - 1) // u) as bigint))))) = 0),
+w as (select doc_id, s, list_filter(range(0, length(v) - 19), lambda j: list_aggregate(string_split(substr(v, j + 1, 20), ''), 'entropy') >= bits - 1e-9) good from c where bits is not null),
+a as (select doc_id, 3 k, s + good[1] s, s + good[-1] + 20 e from w where len(good) > 0),
+y as (select doc_id, k, s, e from b union all select * from a where not exists (select 1 from b where b.doc_id = a.doc_id and b.s < a.e and a.s < b.e)),
+z as (select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex,
+  string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e, ',' order by s, k) filter (where k < 3) base, string_agg(['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e, ',' order by s, k) spans from y group by 1)
+select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join z on z.doc_id = d.doc_id
+"""
+
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE,
     "op3_cross_entropy_difference": CROSS_ENTROPY,
     "op5_host_rules": HOST_RULES,
     "op7_minhash_near_dedup": NEAR_DEDUP,
     "op8_prefix_targets": CHAT,
+    "op9_secret_entropy": SECRETS,
 }
