@@ -41,7 +41,7 @@ def workflow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with t as (select cast(l_orderkey as varchar) as key, l_quantity q, l_extendedprice * (1 - l_discount) * (1 + l_tax) gross, l_shipdate d, l_returnflag f, l_linenumber n from lineitem)
-  select key, n as line, round(gross / q / 7, 6) unit, round(log10(gross), 6) magnitude, cast(floor(gross + 0.5) as bigint) rounded, cast(isodow(d) as bigint) as weekday, case when f = 'R' then 1.0 else 0.0 end::double returned,
+  select key, n as line, round(sqrt(gross / q), 6) unit, round(log10(gross), 6) magnitude, cast(floor(gross + 0.5) as bigint) rounded, cast(isodow(d) as bigint) as weekday, case when f = 'R' then 1.0 else 0.0 end::double returned,
   round((q - avg(q) over ()) / stddev_samp(q) over (), 6) quantity from t""")
 def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten fields of a record and a dozen operators on them, scored by a fitted graph."""
@@ -52,7 +52,7 @@ def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, flag, shipped = G.raw("l_linenumber", "Integral").apply("alias", name="line"), G.raw("l_returnflag", "PickList"), G.raw("shipped", "Date")
     gross = price * (discount * -1.0 + 1.0) * (tax + 1.0)
     out = {
-        "line": line, "unit": gross / quantity / 7.0, "magnitude": gross.log(base=10.0), "rounded": gross.round(), "weekday": shipped.time_period(period="DayOfWeek"),
+        "line": line, "unit": (gross / quantity).sqrt(), "magnitude": gross.log(base=10.0), "rounded": gross.round(), "weekday": shipped.time_period(period="DayOfWeek"),
         "returned": flag.replace_with(old="R", new="").replace_with(old="A", new="x").replace_with(old="N", new="x").occurs(kind="text") * -1.0 + 1.0, "quantity": quantity.z_normalize(),
     }
     named = [f if f.name == n else f.apply("alias", name=n) for n, f in out.items()]
