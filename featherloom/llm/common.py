@@ -38,6 +38,63 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch that goes to a Python worker. Spark's own limit is eight times that, for each of two copies in the JVM.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in batches of BATCH_BYTES, unless the session has a limit of its own."""
+    name, default = _BATCH_CONF
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system: workers live on for other tasks and stages, side by side with
+    the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+#: What clears the caches that an operator's tasks keep from task to task, by operator.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(own: str, clear: Callable[[], None]) -> None:
+    """Say that the tasks of an operator keep caches; tasks of others clear them first."""
+    _KEPT[own] = clear
+
+
+def forget_others(own: str | None) -> None:
+    for name, clear in _KEPT.items():
+        if name != own:
+            clear()
+
+
+def tidy(run: Callable[[Iterator], Iterator], *forget: Callable[[], None], own: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A task function that begins without the caches of other operators and gives memory back when it ends. forget: functions
+    of a module that clear its caches at the end (a cache itself would travel as a copy)."""
+
+    def task(batches: Iterator) -> Iterator:
+        forget_others(own)
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            release()
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most SLICE_ROWS rows and about SLICE_BYTES bytes of text, one row at least."""
     import pyarrow.compute as pc
@@ -61,12 +118,14 @@ def map_texts(
     fields: list[T.StructField],
     make: Callable[[], Callable[[list], list[list]]],
     keep: list[str] | None = None,
+    own: str | None = None,
 ) -> DataFrame:
     """Add columns computed from whole texts, in Arrow batches, without a shuffle.
 
     `make()` runs once per task and returns a function from a list of texts (None for null) to one list
     per new field. `keep` names the input columns to return (all by default). A kept column with the name of a new
-    field gives way to the new field. Column names are compared without regard to case, as Spark does.
+    field gives way to the new field. Column names are compared without regard to case, as Spark does. `own`: the operator
+    whose caches stay from task to task.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -86,4 +145,5 @@ def map_texts(
                 arrays += [pa.array(c, type=f.type) for c, f in zip(cols, arrow_new, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[f.name for f in fields]])
 
-    return source.mapInArrow(run, out)
+    small_batches(df.sparkSession)
+    return source.mapInArrow(tidy(run, own=own), out)

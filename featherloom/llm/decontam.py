@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import keeps, map_texts
 
 WINDOW = 8
 #: Bytes of item text that one automaton holds; more items are scanned for in further blocks.
@@ -28,6 +28,7 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Automata that a Python worker keeps; each takes about 100 bytes for a byte of distinct windows.
 KEPT_AUTOMATA = 2
 _AUTOMATA: dict[str, tuple] = {}
+keeps("decontam", _AUTOMATA.clear)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -162,7 +163,7 @@ def find_overlap(
 
         return apply
 
-    return map_texts(docs, text_col, fields, make, keep)
+    return map_texts(docs, text_col, fields, make, keep, own="decontam")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 2, **options) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_texts, slices
+from .common import cut, map_texts, slices, small_batches, tidy
 
 #: N-grams in a profile, of a language and of a document.
 PROFILE = 400
@@ -26,7 +26,7 @@ MAX_PROFILE_ROWS = 2_000_000
 #: Characters of which the n-grams are counted at a time.
 CHUNK = 1 << 20
 #: Distinct n-grams of all languages that a training task holds before it passes its counts on.
-HELD = 4_000_000
+HELD = 1_000_000
 BOUNDARY = 1
 _LETTER: list[np.ndarray] = []
 
@@ -147,7 +147,8 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
                         held, size_held = {}, 0
         yield from out()
 
-    counts = rows.where("lang is not null and text is not null").mapInArrow(count, "lang string, gram long, n long")
+    small_batches(docs.sparkSession)
+    counts = rows.where("lang is not null and text is not null").mapInArrow(tidy(count), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     first = total.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash("gram"), F.lit(64))).orderBy(*order))).where(F.col("r") <= size)

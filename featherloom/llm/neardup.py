@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, slices, small_batches, tidy
 from .graph import components
 
 WIDTH = 5
@@ -28,8 +28,8 @@ PERCENT = 85
 COORDINATES = 64
 #: A pair of similarity 0.85 has fewer equal coordinates with a probability of about 1e-6.
 MATCHES = 40
-#: Word hashes that a worker keeps.
-CACHE = 1_000_000
+#: Word hashes that a task keeps.
+CACHE = 200_000
 #: Shingles whose hash functions are computed at a time.
 CHUNK = 4096
 #: Candidates that may be sent to all executors (some 50 bytes each), so that texts need not be shuffled; more are joined.
@@ -53,6 +53,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a whole text, hashed to 64 bits, in ascending order. A text of fewer words is one
     shingle; a text without words, or null, has none."""
@@ -97,7 +101,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                     sigs.append(signature(sh) if len(sh) else None)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "n", "set_hash", "sig"])
 
-    return source.mapInArrow(run, T.StructType([source.schema["id"], *T._parse_datatype_string("n long, set_hash binary, sig array<int>").fields]))
+    small_batches(docs.sparkSession)
+    return source.mapInArrow(tidy(run, forget_words), T.StructType([source.schema["id"], *T._parse_datatype_string("n long, set_hash binary, sig array<int>").fields]))
 
 
 def _prefix(classes: DataFrame) -> DataFrame:
@@ -209,7 +214,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, te
                         sets.append(sh.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return source.select("t", "node", "set_hash").mapInArrow(run, "node long, set array<long>")
+    return source.select("t", "node", "set_hash").mapInArrow(tidy(run, forget_words), "node long, set array<long>")
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame | None:
@@ -227,8 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
     links reach, the row's own included. A row without words has no shingles and stands alone. Equal sets are one
-    class and are compared once; repeated rows get equal results. A row with a null id takes part in linking and
-    takes its group's id (null if the group has none); it is not kept. An empty table gives an empty table.
+    class and are compared once; repeated rows get equal results. A row with a null id is linked with
+    equal texts, and through those that have an id with near ones; it takes its group's id (null if there is none) and is not kept. An empty table gives an empty table.
 
     Members of a bucket are first compared with the bucket's most central member, and those left over with the center of the
     bucket's largest component, which joins the large groups. What is left are pairs from different components; those
@@ -278,9 +283,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of docs for each group of near-duplicates, all columns kept as they are: the row with the smallest id (of
     several such rows any one, they are near-duplicates or have the same id). Rows without an id stay."""
     found = cut(near_duplicates(docs, id_col, text_col, **options))
-    dropped = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    named = F.col(id_col).isNotNull()
+    dropped = found.where(~F.col("kept") & named).select(id_col).distinct()
     out = docs.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    repeated = cut(found.where(named).groupBy(id_col).count().where("count > 1").select(id_col))
     if repeated.isEmpty():
         return out
     # several rows have the same id: keep one of each

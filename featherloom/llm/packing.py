@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, keeps, slices, small_batches, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,6 +33,14 @@ _TOKENIZERS: dict[str, object] = {}
 _IDS: dict[str, dict[bytes, bytes]] = {}
 
 
+def forget() -> None:
+    _IDS.clear()
+    _TOKENIZERS.clear()
+
+
+keeps("packing", forget)
+
+
 def tokenizer(path: str):
     """The tokenizer, and for each id whether its token ends a word."""
     if path not in _TOKENIZERS:
@@ -132,7 +140,8 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 arrays = [part.column("__id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["__id", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(run, f"__id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("__id", id_col)
+    small_batches(docs.sparkSession)
+    return source.mapInArrow(tidy(run, own="packing"), f"__id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("__id", id_col)
 
 
 class Bins:
