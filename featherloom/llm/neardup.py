@@ -284,8 +284,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several such rows any one, they are near-duplicates or have the same id). Rows without an id stay."""
     found = cut(near_duplicates(docs, id_col, text_col, **options))
     named = F.col(id_col).isNotNull()
-    dropped = found.where(~F.col("kept") & named).select(id_col).distinct()
-    out = docs.join(dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = cut(found.where(~F.col("kept") & named).select(id_col).distinct())
+    few = dropped.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES  # then texts need not be shuffled
+    out = docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = cut(found.where(named).groupBy(id_col).count().where("count > 1").select(id_col))
     if repeated.isEmpty():
         return out
