@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches, tidy
 
 #: Characters of text in a chunk (a longer text is a chunk of its own).
 CHUNK_CHARS = 12 << 20
@@ -50,6 +50,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def forget_words() -> None:
+    _WORDS.clear()
+
+
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
@@ -63,10 +67,14 @@ def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Documents as one row of word keys, with their distinct words and bigrams and how often those occur."""
+    """Documents as one row of word keys; counted() finds their distinct words and bigrams and how often those occur."""
 
     def __init__(self, word: np.ndarray, lengths: np.ndarray, target: np.ndarray):
         self.word, self.lengths, self.target = word, lengths, target
+        self.name = xxhash.xxh3_128_hexdigest(word.tobytes() + lengths.tobytes() + target.tobytes())
+
+    def counted(self) -> Chunk:
+        word, lengths = self.word, self.lengths
         n = len(word)
         self.begun = lengths > 0
         self.first = (np.cumsum(lengths) - lengths)[self.begun]
@@ -80,7 +88,7 @@ class Chunk:
         self.keys = np.unique(np.concatenate((words, pairs, [_START])))
         self.pair_at, self.word_at = np.searchsorted(self.keys, pairs), np.searchsorted(self.keys, words)
         self.start_at = int(np.searchsorted(self.keys, _START))
-        self.name = xxhash.xxh3_128_hexdigest(word.tobytes() + lengths.tobytes() + target.tobytes())
+        return self
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs, and how often in target documents."""
@@ -96,11 +104,11 @@ class Chunk:
 
     def packed(self) -> tuple[bytes, bytes]:
         """The distinct words' keys, most frequent first, and the words as places in them."""
-        words = self.keys[self.word_at]
-        order = np.argsort(-np.bincount(self.word_of, self.pair_n, len(words)), kind="stable")
+        words, at, n = np.unique(self.word, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        return words[order].tobytes(), _press(rank[self.word_of[self.pair]])
+        return words[order].tobytes(), _press(rank[at])
 
     @classmethod
     def unpacked(cls, words: bytes, places: bytes, lengths: np.ndarray, target: np.ndarray) -> Chunk:
@@ -153,7 +161,7 @@ def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _ask(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches):
-            n, m = chunk.counts()
+            n, m = chunk.counted().counts()
             at = _bucket_edges(chunk.keys, buckets)
             own = [b for b in range(buckets) if at[b] < at[b + 1]]
             cols = [[], [], []]
@@ -167,7 +175,7 @@ def _ask(docs: DataFrame, buckets: int) -> DataFrame:
                 names=["chunk", "bucket", "keys", "n", "m"],
             )
 
-    return docs.mapInArrow(run, "chunk string, bucket int, keys binary, n binary, m binary")
+    return docs.mapInArrow(tidy(run, forget_words), "chunk string, bucket int, keys binary, n binary, m binary")
 
 
 def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +207,7 @@ def _tell(docs: DataFrame, id_kind: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(run, f"chunk string, ids array<{id_kind}>, target binary, lengths binary, words binary, places binary")
+    return docs.mapInArrow(tidy(run, forget_words), f"chunk string, ids array<{id_kind}>, target binary, lengths binary, words binary, places binary")
 
 
 def losses(n: np.ndarray, own: tuple, base: tuple[float, float], vocabulary: int) -> np.ndarray:
@@ -246,6 +254,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     its prior. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     wanted = target.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -268,7 +277,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
         n, m = (np.concatenate([empty, *[_open(x, np.int64) for x in got[c]]]) for c in "nm")
         out = []
         for r in pdf[pdf["bucket"] < 0].itertuples():
-            chunk = Chunk.unpacked(r.words, r.places, _open(r.lengths, np.int64), _open(r.target, bool))
+            chunk = Chunk.unpacked(r.words, r.places, _open(r.lengths, np.int64), _open(r.target, bool)).counted()
             if len(n) != len(chunk.keys):
                 raise RuntimeError("the counts of a chunk are not complete: its rows were read in another order before")
             t, b = score_chunk(chunk, n, m, *totals)
