@@ -44,3 +44,13 @@ def test_stages_return_documents(spark, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "scan_secrets", "pack"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, documents.limit(20), SMALL).columns == documents.columns
+
+
+def test_one_quoted_item_is_enough_to_go(spark, documents, table):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    left = corpus_pipeline.decontaminate(spark, table(f"before {item} after", "nothing of a benchmark"), SMALL)
+    assert [r["doc_id"] for r in left.collect()] == [1]
+    items = {str(r["item_id"]): r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    want = {r["doc_id"] for r in documents.collect() if not overlap(r["text"], items)[2]}
+    got = corpus_pipeline.decontaminate(spark, documents, SMALL)
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) < documents.count()
