@@ -130,11 +130,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def _open_buckets(postings: DataFrame) -> DataFrame:
-    """(token, major): buckets with members in several components and pairs that are not compared yet; major is the largest."""
+def _open_buckets(postings: DataFrame, least: int = 2) -> DataFrame:
+    """(token, major): buckets with members in several components and at least `least` members; major is the largest component.
+
+    In a whole bucket of two the pair has been compared (least = 3 leaves it out). Two that are left of a larger bucket, whose
+    leader is not among them, have not met.
+    """
     groups = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
     major = groups.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("g"), F.count("*").alias("comps"), F.sum("k").alias("size"))
-    return major.where("comps > 1 and size > 2").select("token", F.col("g.comp").alias("major"))
+    return major.where(f"comps > 1 and size >= {least}").select("token", F.col("g.comp").alias("major"))
 
 
 def _center_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for step in (_leader_pairs, _center_pairs, _other_pairs):
         if step is not _leader_pairs:
             now = now if comp is None else postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            now = cut(now.join(_open_buckets(now).select("token"), "token", "left_semi"))
+            now = cut(now.join(_open_buckets(now, 3 if step is _center_pairs else 2).select("token"), "token", "left_semi"))
             if now.isEmpty():
                 break
             nodes = now.select("node", "comp").distinct()

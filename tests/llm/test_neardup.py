@@ -56,3 +56,15 @@ def test_large_group_of_near_copies(spark, table):
 def test_unsuitable_threshold(table):
     with pytest.raises(ValueError):
         neardup.near_duplicates(table("a"), percent=50)
+
+
+def test_two_that_are_left_of_a_bucket_that_others_lead(spark, table):
+    """Six groups of near copies hold one passage among other text and lead its buckets, but are like nothing outside of their
+    group. Two documents that are little but the passage are left of these buckets, and are a link."""
+    passage = [f"p{i}" for i in range(304)]
+    texts = [" ".join([*passage, *(f"a{k}" for k in range(21))]), " ".join([*passage, *(f"b{k}" for k in range(21))])]
+    for g in range(6):
+        rest = [f"g{g}x{i}" for i in range(60)]
+        texts += [" ".join([*passage, *rest[:i], f"own{i}", *rest[i + 1 :]]) for i in range(40)]
+    got = groups(neardup.near_duplicates(table(*texts)))
+    assert got == {0: 0, 1: 0} | {2 + 40 * g + i: 2 + 40 * g for g in range(6) for i in range(40)}
