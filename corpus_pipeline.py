@@ -14,6 +14,8 @@ from featherloom.llm.queries import tokenizer_path
 
 #: Out-of-place distance, as a share of the largest one, beyond which a text is like none of the learned languages.
 MAX_DISTANCE = 0.8
+#: Near-duplicates share this percentage of the five-word shingles of both, or more.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

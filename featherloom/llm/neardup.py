@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
 Each distinct set of word shingles gets a MinHash signature. It is posted under (coordinate, value) pairs. Sets that agree
-in at least MATCHES of the COORDINATES coordinates share one of the COORDINATES - MATCHES + 1 rarest pairs of each
+in at least `matches` of the COORDINATES coordinates share one of the COORDINATES - matches + 1 rarest pairs of each
 (prefix filter), so that only this prefix is joined; the other, frequent pairs are never merged as lists but skipped: the
 signatures of a candidate are compared directly to count its collisions. Candidates that collide often enough are
 confirmed on their full sets.
@@ -10,7 +10,8 @@ confirmed on their full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 COORDINATES = 64
-#: A pair of similarity 0.85 has fewer equal coordinates with a probability of about 1e-6.
+#: Equal coordinates that a candidate needs at PERCENT; a pair of similarity 0.85 has fewer with a probability of 2.4e-6.
 MATCHES = 40
 #: Word hashes that a task keeps.
 CACHE = 200_000
@@ -37,6 +38,9 @@ BROADCAST_NODES = 500_000
 #: Nodes that a rare shingle stands in, at most.
 RARE = 24
 
+#: Probability, at most, that a pair just similar enough has too few equal coordinates.
+MISSED = 2.5e-6
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _A = (_RNG.integers(0, 1 << 63, COORDINATES, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -44,6 +48,18 @@ _B = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def matches_for(percent: int) -> int:
+    """Equal coordinates that candidates need for links of `percent`: as many as leave a pair of just that similarity with fewer
+    at a probability of at most MISSED. MATCHES for PERCENT and above."""
+    p, below = percent / 100, 0.0
+    for k in range(MATCHES):
+        below += comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if below > MISSED:
+            return k
+    return MATCHES
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = out = xxhash.xxh64_intdigest(word)
@@ -105,13 +121,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
     return source.mapInArrow(tidy(run, forget_words), T.StructType([source.schema["id"], *T._parse_datatype_string("n long, set_hash binary, sig array<int>").fields]))
 
 
-def _prefix(classes: DataFrame) -> DataFrame:
+def _prefix(classes: DataFrame, matches: int) -> DataFrame:
     """(token, node, n, weight): the rarest shared pairs of each class, as far as they lie in its prefix."""
     tokens = classes.select("node", "n", F.posexplode("sig").alias("c", "v")).select("node", "n", F.expr("shiftleft(cast(c as long), 32) | (v & 4294967295L)").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     own = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"), F.sum(F.log2("f")).alias("weight"))
     # pairs that no other class has come first in the prefix
-    inside = F.size("own") - (MATCHES - 1)
+    inside = F.size("own") - (matches - 1)
     return own.where(inside > 0).select("node", "n", "weight", F.explode(F.slice("own", 1, inside)).alias("x")).select(F.col("x.token").alias("token"), "node", "n", "weight")
 
 
@@ -188,11 +204,11 @@ def _other_pairs(postings: DataFrame, spread: DataFrame, percent: int) -> DataFr
     return _ordered(by_hot.select("x", "node").unionByName(by_rare.select("x", "node")))
 
 
-def _colliding(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     sig = classes.select("node", "sig")
     both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(equal >= MATCHES).select("a", "b")
+    return both.where(equal >= matches).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +239,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, te
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame | None:
     """The pairs that collide often enough and are similar enough as full sets; None if there are none to compare."""
-    pairs = cut(_colliding(pairs, classes))
+    pairs = cut(_colliding(pairs, classes, matches_for(percent)))
     if pairs.isEmpty():
         return None
     if sets is None:
@@ -252,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    postings = cut(_prefix(classes))
+    postings = cut(_prefix(classes, matches_for(percent)))
     own = (id_col, text_col, width, percent)
     now, comp, sets = postings.withColumn("comp", F.col("node")), None, None
     for step in (_leader_pairs, _center_pairs, _other_pairs):

@@ -54,3 +54,12 @@ def test_one_quoted_item_is_enough_to_go(spark, documents, table):
     want = {r["doc_id"] for r in documents.collect() if not overlap(r["text"], items)[2]}
     got = corpus_pipeline.decontaminate(spark, documents, SMALL)
     assert {r["doc_id"] for r in got.collect()} == want and len(want) < documents.count()
+
+
+def test_near_duplicates_from_a_similarity_of_four_fifths(spark, table):
+    """12 of 15 shingles in common (exactly 0.8), 140 of 170 (0.82) and 158 of 200 (0.79)."""
+    w = lambda p, n: [f"{p}{i}" for i in range(n)]
+    pair = lambda p, common, a, b: [" ".join([*w(p, common + 4), *w(f"{p}x", a)]), " ".join([*w(p, common + 4), *w(f"{p}y", b)])]
+    texts = [*pair("p", 12, 2, 1), *pair("q", 140, 15, 15), *pair("r", 158, 21, 21)]
+    left = corpus_pipeline.near_dedup(spark, table(*texts), SMALL)
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4, 5]
