@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -38,6 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a derived table (links, postings, classes) for each of its parts. Without this, small tables would be dealt over all
+#: shuffle partitions, and every shuffle and every written step of theirs would be that many nearly empty files.
+PART_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """df in no more parts than `rows` rows fill. Parts are put together without a shuffle; enough rows leave df as it is."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def counted(df: DataFrame, *more: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and what was seen of its rows in the same pass: their number `n`, and `more` named aggregates."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *more))
+    return out, seen.get
+
+
 #: Bytes of a batch that goes to a Python worker. Spark's own limit is eight times that, for each of two copies in the JVM.
 BATCH_BYTES = 8 << 20
 _BATCH_CONF = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b")

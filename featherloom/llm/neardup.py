@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, small_batches, tidy
+from .common import PART_ROWS, counted, cut, gathered, slices, small_batches, tidy
 from .graph import components
 
 WIDTH = 5
@@ -35,6 +35,10 @@ CACHE = 200_000
 CHUNK = 4096
 #: Candidates that may be sent to all executors (some 50 bytes each), so that texts need not be shuffled; more are joined.
 BROADCAST_NODES = 500_000
+#: Postings of a bucket that one task gets, about.
+SPLIT = 512
+#: Pairs of full sets that a task compares, about.
+CONFIRMED = 5_000
 #: Nodes that a rare shingle stands in, at most.
 RARE = 24
 
@@ -103,8 +107,9 @@ def signature(sh: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, set_hash, sig): set_hash and sig are null for a document without words."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    """(id, th, n, set_hash, sig): th is a hash of the text; set_hash and sig are null for a document without words."""
+    text = F.col(f"`{text_col}`").cast("string")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,54 +120,64 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                     n.append(len(sh))
                     h.append(xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None)
                     sigs.append(signature(sh) if len(sh) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "n", "set_hash", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "th", "n", "set_hash", "sig"])
 
     small_batches(docs.sparkSession)
-    return source.mapInArrow(tidy(run, forget_words), T.StructType([source.schema["id"], *T._parse_datatype_string("n long, set_hash binary, sig array<int>").fields]))
+    return source.mapInArrow(tidy(run, forget_words), T.StructType([source.schema["id"], *T._parse_datatype_string("th long, n long, set_hash binary, sig array<int>").fields]))
 
 
-def _prefix(classes: DataFrame, matches: int) -> DataFrame:
-    """(token, node, n, weight): the rarest shared pairs of each class, as far as they lie in its prefix."""
+def _prefix(classes: DataFrame, n_classes: int, matches: int) -> DataFrame:
+    """(token, f, node, n, weight): the rarest shared pairs of each class, as far as they lie in its prefix; f: how many classes
+    have the pair."""
     tokens = classes.select("node", "n", F.posexplode("sig").alias("c", "v")).select("node", "n", F.expr("shiftleft(cast(c as long), 32) | (v & 4294967295L)").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    own = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"), F.sum(F.log2("f")).alias("weight"))
+    met = gathered(tokens.join(shared, "token"), COORDINATES * n_classes, 4 * PART_ROWS)
+    own = met.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"), F.sum(F.log2("f")).alias("weight"))
     # pairs that no other class has come first in the prefix
     inside = F.size("own") - (matches - 1)
-    return own.where(inside > 0).select("node", "n", "weight", F.explode(F.slice("own", 1, inside)).alias("x")).select(F.col("x.token").alias("token"), "node", "n", "weight")
+    return own.where(inside > 0).select("node", "n", "weight", F.explode(F.slice("own", 1, inside)).alias("x")).select("x.token", "x.f", "node", "n", "weight")
 
 
 def _comparable(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def _with_bucket(postings: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """postings joined with a table of one row for each bucket. Buckets of many postings are dealt over several tasks, with the
+    bucket's row in each."""
+    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("node"), F.floor(F.col("f") / SPLIT) + 1))
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("f") / SPLIT)))).drop("f")
+    return dealt.join(each, ["token", "salt"], how).drop("salt")
+
+
+def _leader_pairs(postings: DataFrame, rows: int, percent: int) -> DataFrame:
     """Each member of a bucket with the member nearest to what the bucket has in common."""
-    lead = postings.groupBy("token").agg(F.max(F.struct("weight", F.negative("node").alias("m"), "n", "comp")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    pairs = postings.join(lead, "token").where("comp != l.comp").select(F.negative("l.m").alias("x"), "node", F.col("l.n").alias("na"), F.col("n").alias("nb"))
-    return _ordered(pairs.where(_comparable(percent)))
+    lead = postings.groupBy("token").agg(F.max(F.struct("weight", F.negative("node").alias("m"), "n", "comp")).alias("l"), F.count("*").alias("size"), F.max("f").alias("f"))
+    pairs = _with_bucket(postings, gathered(lead.where("size > 1"), rows)).where("comp != l.comp").select(F.negative("l.m").alias("x"), "node", F.col("l.n").alias("na"), F.col("n").alias("nb"))
+    return _ordered(gathered(pairs.where(_comparable(percent)), rows))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def _open_buckets(postings: DataFrame, least: int = 2) -> DataFrame:
-    """(token, major): buckets with members in several components and at least `least` members; major is the largest component.
+def _open_buckets(postings: DataFrame, rows: int, least: int = 2) -> DataFrame:
+    """(token, f, major): buckets with members in several components and at least `least` members; major is the largest component.
 
     In a whole bucket of two the pair has been compared (least = 3 leaves it out). Two that are left of a larger bucket, whose
     leader is not among them, have not met.
     """
-    groups = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    major = groups.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("g"), F.count("*").alias("comps"), F.sum("k").alias("size"))
-    return major.where(f"comps > 1 and size >= {least}").select("token", F.col("g.comp").alias("major"))
+    groups = gathered(postings.groupBy("token", "comp").agg(F.count("*").alias("k"), F.max("f").alias("f")), rows)
+    major = groups.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("g"), F.count("*").alias("comps"), F.sum("k").alias("size"), F.max("f").alias("f"))
+    return gathered(major.where(f"comps > 1 and size >= {least}").select("token", "f", F.col("g.comp").alias("major")), rows)
 
 
-def _center_pairs(postings: DataFrame, percent: int) -> DataFrame:
+def _center_pairs(postings: DataFrame, rows: int, percent: int) -> DataFrame:
     """Members of a bucket outside of its largest component, with the most central node of that component."""
     centers = postings.groupBy("comp").agg(F.max(F.struct("near", F.negative("node").alias("m"), "n")).alias("c"))
-    rest = postings.join(_open_buckets(postings), "token").where("comp != major").select("node", F.col("n").alias("nb"), "major").distinct()
-    pairs = rest.join(centers.withColumnRenamed("comp", "major"), "major").select(F.negative("c.m").alias("x"), "node", F.col("c.n").alias("na"), "nb")
-    return _ordered(pairs.where(_comparable(percent)))
+    rest = gathered(_with_bucket(postings, _open_buckets(postings, rows)).where("comp != major"), rows).select("node", F.col("n").alias("nb"), "major").distinct()
+    pairs = gathered(rest, rows).join(gathered(centers, rows).withColumnRenamed("comp", "major"), "major").select(F.negative("c.m").alias("x"), "node", F.col("c.n").alias("na"), "nb")
+    return _ordered(gathered(pairs.where(_comparable(percent)), rows))
 
 
 def _spread(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,7 +198,7 @@ def _enough(common: str, percent: int) -> str:
     return f"100 * ({common}) >= {percent} * (na + nb - ({common}))"
 
 
-def _other_pairs(postings: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
+def _other_pairs(postings: DataFrame, rows: int, spread: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can be similar enough.
 
     A pair has at most as many frequent shingles in common as the one with fewer has, and its rare ones in common are found
@@ -192,21 +207,23 @@ def _other_pairs(postings: DataFrame, spread: DataFrame, percent: int) -> DataFr
     members, as far as their frequent shingles alone are enough.
     """
     able = postings.where(f"100 * hot >= {percent} * n")
-    known = able.join(_open_buckets(able), "token")
+    known = gathered(_with_bucket(able, _open_buckets(able, rows)), rows)
     rest = known.where("comp != major").select("token", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("na"), F.col("hot").alias("ha"))
     pairs = rest.join(known.select("token", "node", "comp", F.col("n").alias("nb"), F.col("hot").alias("hb"), "major"), "token")
     by_hot = pairs.where(f"comp != xc and (comp = major or x < node) and {_comparable(percent)} and {_enough('least(ha, hb)', percent)}")
     rare = spread.where(F.col("abroad") & (F.col("f") <= RARE)).select("h", "node", "comp")
     met = rare.select("h", F.col("node").alias("x"), F.col("comp").alias("xc")).join(rare, "h").where("x < node and comp != xc").groupBy("x", "node").agg(F.count("*").alias("k"))
-    size = postings.select("node", "n", "hot").distinct()
+    size = gathered(postings.select("node", "n", "hot").distinct(), rows)
     met = met.join(size.withColumnsRenamed({"node": "x", "n": "na", "hot": "ha"}), "x").join(size.withColumnsRenamed({"n": "nb", "hot": "hb"}), "node")
     by_rare = met.where(f"{_comparable(percent)} and {_enough('least(ha, hb) + k', percent)}")
     return _ordered(by_hot.select("x", "node").unionByName(by_rare.select("x", "node")))
 
 
-def _colliding(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+def _colliding(pairs: DataFrame, rows: int, classes: DataFrame, n_classes: int, matches: int) -> DataFrame:
+    """The pairs that collide in enough coordinates. In place of merging the long lists of frequent pairs, each is looked up for
+    the candidates alone: b stands in the list of (c, v) if its coordinate c is v."""
     sig = classes.select("node", "sig")
-    both = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
+    both = gathered(pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a"), max(rows, n_classes), PART_ROWS // 4).join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return both.where(equal >= matches).select("a", "b")
 
@@ -237,81 +254,100 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, te
     return source.select("t", "node", "set_hash").mapInArrow(tidy(run, forget_words), "node long, set array<long>")
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame | None:
+def _confirm(docs: DataFrame, classes: DataFrame, n_classes: int, pairs: DataFrame, rows: int, id_col: str, text_col: str, width: int, percent: int, sets: DataFrame | None = None) -> DataFrame | None:
     """The pairs that collide often enough and are similar enough as full sets; None if there are none to compare."""
-    pairs = cut(_colliding(pairs, classes, matches_for(percent)))
-    if pairs.isEmpty():
+    pairs, seen = counted(gathered(_colliding(pairs, rows, classes, n_classes, matches_for(percent)), max(rows, n_classes)))
+    if not seen["n"]:
         return None
+    pairs = gathered(pairs, seen["n"])
     if sets is None:
         sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), id_col, text_col, width)
-    return cut(_confirmed(pairs, sets, percent))
+    return cut(gathered(_confirmed(pairs, sets, percent), seen["n"], CONFIRMED))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs.
-
-    Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
-    links reach, the row's own included. A row without words has no shingles and stands alone. Equal sets are one
-    class and are compared once; repeated rows get equal results. A row with a null id is linked with
-    equal texts, and through those that have an id with near ones; it takes its group's id (null if there is none) and is not kept. An empty table gives an empty table.
-
-    Members of a bucket are first compared with the bucket's most central member, and those left over with the center of the
-    bucket's largest component, which joins the large groups. What is left are pairs from different components; those
-    are compared that have enough shingles which others have too to leave room for a link. So no group of copies is compared pair by pair, and no pair that may be linked is left out.
-    """
+def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, th, comp, n_shingles, component_id, kept) for every row of docs; comp is null for a row without words."""
     if not 64 * percent >= 100 * MATCHES:
         raise ValueError("the match threshold suits similarities of about 0.8 and above")
-    rows = cut(_signed(docs, id_col, text_col, width))
-    classes = cut(
-        rows.where("set_hash is not null")
-        .groupBy("set_hash", "n")
-        .agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig"))
+    rows, seen = counted(_signed(docs, id_col, text_col, width))
+    classes, seen = counted(
+        gathered(rows.where("set_hash is not null").groupBy("set_hash", "n").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig")), seen["n"], PART_ROWS // 4)
         .withColumn("node", F.monotonically_increasing_id())
     )
-    postings = cut(_prefix(classes, matches_for(percent)))
+    n_classes = seen["n"]
+    postings, seen = counted(gathered(_prefix(classes, n_classes, matches_for(percent)), COORDINATES * n_classes, 4 * PART_ROWS))
+    n_postings = seen["n"]
+    postings = gathered(postings, n_postings)
     own = (id_col, text_col, width, percent)
     now, comp, sets = postings.withColumn("comp", F.col("node")), None, None
     for step in (_leader_pairs, _center_pairs, _other_pairs):
         if step is not _leader_pairs:
-            now = now if comp is None else postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            now = cut(now.join(_open_buckets(now, 3 if step is _center_pairs else 2).select("token"), "token", "left_semi"))
-            if now.isEmpty():
+            now = now if comp is None else gathered(postings.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), n_postings)
+            opened = _open_buckets(now, n_postings, 3 if step is _center_pairs else 2).drop("major")
+            now, seen = counted(gathered(_with_bucket(now, opened, "left_semi"), n_postings))
+            n_postings = seen["n"]
+            if not n_postings:
                 break
-            nodes = now.select("node", "comp").distinct()
+            now = gathered(now, n_postings)
+            nodes = gathered(now.select("node", "comp").distinct(), n_postings)
             sets = cut(_sets(docs, classes, nodes.select("node"), id_col, text_col, width)) if sets is None else sets
             spread = cut(_spread(nodes, sets))
-            now = now.join(_measures(spread), "node")
+            now = gathered(now.join(gathered(_measures(spread), n_postings), "node"), n_postings)
             postings = now.drop("comp", "near", "hot")
-        pairs = _other_pairs(now, spread, percent) if step is _other_pairs else step(now, percent)
-        links = _confirm(docs, classes, pairs, *own, sets)
+        n_pairs = n_postings
+        if step is _other_pairs:
+            pairs, seen = counted(_other_pairs(now, n_postings, spread, percent))
+            n_pairs = seen["n"]
+            pairs = gathered(pairs, n_pairs)
+        else:
+            pairs = step(now, n_postings, percent)
+        links = _confirm(docs, classes, n_classes, pairs, n_pairs, *own, sets)
         if links is not None:
             known = [] if comp is None else [comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))]
             comp = cut(components(reduce(DataFrame.unionByName, known, links)))
     ids = classes.select("set_hash", "node", "rep")
-    if comp is None:
-        named = ids.select("set_hash", F.col("rep").alias("component_id"))
-    else:
-        placed = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        named = placed.join(least, "comp").select("set_hash", "component_id")
-    out = rows.select("id", "n", "set_hash").join(named, "set_hash", "left")
-    own = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each group of near-duplicates, all columns kept as they are: the row with the smallest id (of
-    several such rows any one, they are near-duplicates or have the same id). Rows without an id stay."""
-    found = cut(near_duplicates(docs, id_col, text_col, **options))
-    named = F.col(id_col).isNotNull()
-    dropped = cut(found.where(~F.col("kept") & named).select(id_col).distinct())
-    few = dropped.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES  # then texts need not be shuffled
-    out = docs.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = cut(found.where(named).groupBy(id_col).count().where("count > 1").select(id_col))
-    if repeated.isEmpty():
-        return out
-    # several rows have the same id: keep one of each
-    lone = out.join(repeated, id_col, "left_anti").select(*docs.columns)
-    return lone.unionByName(out.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+    placed = (ids.withColumn("comp", F.col("node")) if comp is None else ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = placed.join(least, "comp").select("set_hash", "comp", "component_id")
+    out = rows.select("id", "th", "n", "set_hash").join(named, "set_hash", "left")
+    component = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", "th", "comp", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs.
 
+    Rows whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the smallest id that
+    links reach, the row's own included. A row without words has no shingles and stands alone. Equal sets are one
+    class and are compared once; repeated rows get equal results. A row with a null id is linked with
+    equal texts, and through those that have an id with near ones; it takes its group's id (null if there is none) and is not kept. An empty table gives an empty table.
+
+    Members of a bucket are first compared with the bucket's most central member, and those left over with the center of the
+    bucket's largest component, which joins the large groups. What is left are pairs from different components; those
+    are compared that have enough shingles which others have too to leave room for a link. So no group of copies is compared pair by pair, and no pair that may be linked is left out.
+    """
+    return _found(docs, id_col, text_col, width, percent).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each group of near-duplicates, all columns kept as they are: the row with the smallest id, and of
+    several such rows any one. An id may stand in rows of several groups; each of these groups keeps its row. Rows without an
+    id stay."""
+    found = cut(_found(docs, id_col, text_col, width, percent))
+    # of several rows with one id in one group, the one with the smallest hash stays
+    again = found.where("kept and id is not null").groupBy("id", "comp").agg(F.min("th").alias("own"), F.count("*").alias("k"))
+    twice = cut(again.where("k > 1"))
+    gone = found.where("not kept and id is not null").select("id", "th")
+    repeated = None if twice.isEmpty() else twice
+    if repeated is not None:
+        near = found.where("kept").join(repeated, (found["id"] == repeated["id"]) & found["comp"].eqNullSafe(repeated["comp"]))
+        gone = gone.unionByName(near.where("th != own").select(found["id"], found["th"]))
+    dropped, seen = counted(gone.distinct())
+    key, hashed = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    few = seen["n"] <= BROADCAST_NODES  # then texts need not be shuffled
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), hashed.alias("th"))
+    out = rows.join(F.broadcast(dropped) if few else dropped, ["id", "th"], "left_anti")
+    if repeated is not None:  # the same id and text in several rows: one of them
+        same = repeated.select("id", F.col("own").alias("th")).distinct()
+        out = out.join(same, ["id", "th"], "left_anti").unionByName(out.join(same, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+    return out.select("row.*")

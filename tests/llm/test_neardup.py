@@ -68,3 +68,22 @@ def test_two_that_are_left_of_a_bucket_that_others_lead(spark, table):
         texts += [" ".join([*passage, *rest[:i], f"own{i}", *rest[i + 1 :]]) for i in range(40)]
     got = groups(neardup.near_duplicates(table(*texts)))
     assert got == {0: 0, 1: 0} | {2 + 40 * g + i: 2 + 40 * g for g in range(6) for i in range(40)}
+
+
+def test_an_id_in_several_groups(spark, table):
+    """Of the two texts of id 5, one is a copy of document 1, the other leads a group of its own; id 7 has near copies of its own."""
+    w = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    docs = table((1, w("a")), (5, w("a")), (5, w("b")), (6, w("b")), (7, w("c")), (7, w("c")), (7, w("c") + " more"), (8, None), (8, None), (None, w("d")))
+    left = neardup.drop_near_duplicates(docs)
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:1]) for r in left.collect())
+    assert got == [(0, "d"), (1, "a"), (5, "b"), (7, "c"), (8, "")]
+
+
+def test_small_tables_stand_in_few_parts(spark, table):
+    """The parts of links and postings follow their rows, not the number of shuffle partitions."""
+    from featherloom.llm.common import PART_ROWS, counted, gathered
+
+    df, seen = counted(spark.range(1000).repartition(16))
+    assert seen["n"] == 1000 and df.rdd.getNumPartitions() == 16
+    assert gathered(df, 1000).rdd.getNumPartitions() == 1 and gathered(df, 3 * PART_ROWS).rdd.getNumPartitions() == 3
+    assert gathered(df, 10**9).rdd.getNumPartitions() == 16
