@@ -5,14 +5,17 @@ programme over segments of bounded length chooses boundaries and types together.
 generated examples, by gradient ascent on the likelihood of the right segmentation.
 
 A segment can only lie in an island: parts of the text between white space that hold a digit or an at sign, joined by
-single spaces. Outside of islands nothing scores, so that decoding islands alone is decoding the whole text.
+single spaces. Outside of islands nothing scores, so that decoding islands alone is decoding the whole text. A segment does not
+begin or end inside of a run of letters and digits.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +33,8 @@ MAX_TOKENS = 18
 EXAMPLES = 800
 EPOCHS = 4
 SEED = 11
+#: Tokens of an island that are held at a time.
+BLOCK = 4096
 #: Log odds against the next best reading of the island that an added span needs.
 MARGIN = 2.0
 
@@ -76,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of all pattern matches that pass their check, in that order."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
@@ -148,26 +153,37 @@ def cue_before(text: str, at: int) -> str:
     return ""
 
 
-def candidates(text: str, lo: int, hi: int) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+def candidates(text: str, lo: int, hi: int, starts: int | None = None) -> tuple[list[int], list[tuple[int, int, int, int]]]:
     """Token borders of an island, and (i, j, start, end) of the token ranges that may be an entity: bounded in length,
-    beginning and ending like one, with an at sign or seven digits."""
+    beginning and ending like one, with an at sign or seven digits. starts: first tokens that are asked for (all)."""
     edges = [lo, *[m.end() for m in _TOKEN.finditer(text, lo, hi)]]
-    digits = np.cumsum([0, *[sum(c.isdigit() for c in text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]]).tolist()
-    signs = np.cumsum([0, *[text[a] == "@" for a in edges[:-1]]]).tolist()
-    out = []
-    for i in range(len(edges) - 1):
-        c = text[edges[i]]
-        if not (c.isascii() and c.isalnum() or c in "+("):
+    digits = list(accumulate((b - a if "0" <= text[a] <= "9" else 0 for a, b in pairwise(edges)), initial=0))
+    signs = list(accumulate((text[a] == "@" for a in edges[:-1]), initial=0))
+    n, out = len(edges) - 1, []
+    for i in range(n if starts is None else min(n, starts)):
+        a = edges[i]
+        c = text[a]
+        if not (c.isascii() and c.isalnum() or c in "+(") or a and text[a - 1].isalnum() and c.isalnum():
             continue
-        for j in range(i + 1, min(len(edges) - 1, i + MAX_TOKENS) + 1):
-            d = text[edges[j] - 1]
-            if d.isascii() and d.isalnum() and (digits[j] - digits[i] >= 7 or signs[j] > signs[i]):
+        for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
+            d, b = text[edges[j] - 1], edges[j]
+            if d.isascii() and d.isalnum() and (digits[j] - digits[i] >= 7 or signs[j] > signs[i]) and not (b < len(text) and text[b].isalnum()):
                 if digits[j] - digits[i] > 34:
                     break
-                out.append((i, j, edges[i], edges[j]))
+                out.append((i, j, a, b))
     return edges, out
 
 
+def blocks(text: str, lo: int, hi: int, size: int) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """(tokens, candidates that begin in them) of the parts of an island, `size` tokens each; a candidate's numbers count from
+    the first token of its part, and its end may lie beyond the part."""
+    while lo < hi:
+        ends = [m.end() for m in islice(_TOKEN.finditer(text, lo, hi), size + MAX_TOKENS)]
+        n = min(size, len(ends))
+        yield n, candidates(text, lo, ends[-1], n)[1]
+        lo = ends[n - 1]
+
+
 class SemiCRF:
     """weights: a row for each feature, a column for each label but '-'; moves: label to label; inactive segments score 0."""
 
@@ -190,32 +206,70 @@ class SemiCRF:
             by_end.setdefault(j, []).append((i, self.weights[ids].sum(0), a, b, ids))
         return by_end
 
-    def decode(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """Best segmentation of an island: (start, end, label) of its entities, by dynamic programming."""
-        n, found = self.segments(text, lo, hi)
-        if not found:
-            return []
-        by_end = self.scored(found)
-        k = len(LABELS)
-        best = np.full((n + 1, k), -np.inf)
-        best[0, 0] = 0.0
-        back: list[list] = [[None] * k for _ in range(n + 1)]
-        for j in range(1, n + 1):
-            stay = best[j - 1] + self.moves[:, 0]
-            p = int(np.argmax(stay))
-            best[j, 0], back[j][0] = stay[p], (j - 1, p, None)
-            for i, score, a, b, _ in by_end.get(j, ()):
-                come = best[i][:, None] + self.moves[:, 1:]
+    def decode(self, text: str, lo: int, hi: int, size: int = BLOCK) -> list[tuple[int, int, int]]:
+        """Best segmentation of an island: (start, end, label) of its entities, by dynamic programming.
+
+        Tokens are taken in blocks. After each, what all open readings share is given out and forgotten, so that a long island
+        is not held as a whole.
+        """
+        k, cue = len(LABELS), None
+        first = np.full(k, -np.inf)
+        first[0] = 0.0
+        best: dict[int, np.ndarray] = {0: first}  # scores by label, for places that are not behind yet
+        back: dict[tuple[int, int], tuple] = {}  # (place, label): (place before, label before, entity or None)
+        out: list[tuple] = []
+        root, at = (0, 0), 0
+        for n, found in blocks(text, lo, hi, size):
+            if found and cue is None:
+                cue = cue_before(text, lo)
+            by_start: dict[int, list] = {}
+            for i, j, a, b in found:
+                by_start.setdefault(i, []).append((j, a, b))
+            for i in range(n):
+                now = best.pop(at + i)
+                stay = now + self.moves[:, 0]
+                p = int(np.argmax(stay))
+                best.setdefault(at + i + 1, np.full(k, -np.inf))[0] = stay[p]
+                back[at + i + 1, 0] = (at + i, p, None)
+                if i not in by_start:
+                    continue
+                come = now[:, None] + self.moves[:, 1:]
                 p = np.argmax(come, 0)
-                total = come[p, np.arange(k - 1)] + score
-                for y in np.flatnonzero(total > best[j, 1:]):
-                    best[j, y + 1], back[j][y + 1] = total[y], (i, int(p[y]), (a, b, int(y) + 1, float(score[y])))
-        out, y, j = [], int(np.argmax(best[n])), n
-        while j > 0:
-            j, y, seg = back[j][y]
-            if seg:
-                out.append(seg)
-        return [(a, b, y) for a, b, y, score in reversed(out) if score >= MARGIN]
+                come = come[p, np.arange(k - 1)]
+                for j, a, b in by_start[i]:
+                    score = self.weights[self.ids(segment_features(text, a, b, cue))].sum(0)
+                    then = best.setdefault(at + j, np.full(k, -np.inf))
+                    total = come + score
+                    for y in np.flatnonzero(total > then[1:]):
+                        then[y + 1] = total[y]
+                        back[at + j, int(y) + 1] = (at + i, int(p[y]), (a, b, int(y) + 1, float(score[y])))
+            at += n
+            last = {(j, int(y)) for j, scores in best.items() for y in np.flatnonzero(scores > -np.inf)}
+            root = self._shared(last, back, root, out)
+        self._shared({(at, int(np.argmax(best[at])))}, back, root, out)
+        return [(a, b, y) for a, b, y, score in out if score >= MARGIN]
+
+    @staticmethod
+    def _shared(states: set[tuple[int, int]], back: dict, root: tuple[int, int], out: list) -> tuple[int, int]:
+        """Append the entities of what the readings that end in `states` share; the last place of that."""
+        states, kept = set(states), {}
+        while len(states) > 1:
+            s = max(states)
+            states.remove(s)
+            if s != root:
+                kept[s] = back[s]
+                states.add(back[s][:2])
+        new = s = next(iter(states))
+        own = []
+        while s != root:
+            before = back[s]
+            if before[2]:
+                own.append(before[2])
+            s = before[:2]
+        out += reversed(own)
+        back.clear()
+        back.update(kept)
+        return new
 
     def gradient(self, n: int, found: list[tuple], right: dict[tuple[int, int], int]) -> tuple[np.ndarray, list]:
         """Expected against observed moves, and (feature ids, gradient by label) for each segment."""
