@@ -99,7 +99,7 @@ p as (select doc_id, k, least, z[1] v, length(z[2]) n, sum(length(z[3]) + length
 q as (select doc_id, k, v, cast(e - length(v) as bigint) s, cast(e as bigint) e from p where n >= least),
 b as (select * from q where k < 3),
 c as (select *, case when regexp_matches(v, '^[0-9a-f]+$') and regexp_matches(v, '[a-f]') then 2.9 when regexp_matches(v, '^[0-9A-F]+$') and regexp_matches(v, '[A-F]') then 2.9
-  when regexp_matches(v, '^[A-Z0-9=]+$') and regexp_matches(v, '[A-Z]') then 3.5 when regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]') then 3.7 end bits from q where k = 3 and regexp_matches(v, '[0-9]')
+  when regexp_matches(v, '^[A-Z0-9=]+$') and regexp_matches(v, '[A-Z]') then 3.5 else 3.7 end bits from q where k = 3 and regexp_matches(v, '[0-9]')
   and not regexp_matches(v, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$') and not regexp_matches(v, '^/?([A-Za-z0-9]{{1,15}}[/_-]){{3,}}[A-Za-z0-9]{{0,15}}$')
   and not regexp_matches(lower(v), 'example|sample|dummy|placeholder|changeme')
   and len(list_filter(range(1, 9), lambda u: u * greatest(3, (length(v) - 8 + u - 1) // u) <= length(v) and starts_with(v, repeat(v[1 : u], cast(greatest(3, (length(v) - 8 + u - 1) // u) as bigint))))) = 0),

@@ -28,15 +28,19 @@ CLASSES = {
     "HEX": (r"^(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF", 2.9),
     "base32": (r"^(?=.*[A-Z])[A-Z0-9=]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789=", 3.5),
     "base64": (r"^(?=.*[a-z])(?=.*[A-Z]).+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
+    "other": (r"^.+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 }
-#: Candidates that are no secrets: UUIDs, repeats of one unit, paths and names, strings that say so.
+#: Candidates that are no secrets: UUIDs, repeats of one unit, paths and names, strings that say so. Repeated groups are
+#: possessive, for which the matcher loops; others take a stack frame a repeat.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^(.{1,8})\1{2,}.{0,8}$",
-    r"^/?([A-Za-z0-9]{1,15}[/_-]){3,}[A-Za-z0-9]{0,15}$",
+    r"^/?+(?:[A-Za-z0-9]{1,15}+[/_-]){3,}+[A-Za-z0-9]{0,15}+$",
     r"(?i)(example|sample|dummy|placeholder|changeme)",
 )
 KINDS = [*BASE, "entropy"]
+#: Bits of a count in a window, and counts in an integer.
+BITS, IN_WORD = 5, 12
 #: Matches whose offsets are added up one by one; more are added up in parts.
 PART = 256
 
@@ -82,13 +86,23 @@ def _entropy_spans(candidates: str, window: int) -> Column:
 
     One pass over a candidate holds the counts of the characters in the window and the sum of n log2 n over them. A step
     takes one character in and one out, which changes two counts and two terms of the sum; the entropy of a window
-    of w characters is log2(w) less the sum over w.
+    of w characters is log2(w) less the sum over w. Counts are five bits each, IN_WORD of them in an integer, so that a step
+    writes a few integers and not a count for each character of the alphabet.
     """
+    if not 1 <= window < 31:
+        raise ValueError("a window has 1 to 30 characters")
+
+    def one(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), ((k % IN_WORD) * BITS).cast("int"))
+
+    def count_of(n: Column, k: Column) -> Column:
+        word = F.get(n, F.floor(k / IN_WORD).cast("int"))
+        return F.call_function("shiftright", word, ((k % IN_WORD) * BITS).cast("int")).bitwiseAND((1 << BITS) - 1)
 
     def reach(x: Column, alphabet: str, bits: float) -> Column:
-        places = F.transform(F.sequence(F.lit(1), F.char_length(x["m"])), lambda i: F.call_function("instr", F.lit(alphabet), F.substring(x["m"], i, F.lit(1))))
+        places = F.transform(F.split(x["m"], ""), lambda c: F.call_function("instr", F.lit(alphabet), c))
         start = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"),
+            F.array_repeat(F.lit(0).cast("long"), len(alphabet) // IN_WORD + 1).alias("n"),
             F.lit(0.0).alias("sum"),
             F.lit(0).alias("i"),
             F.lit(-1).alias("lo"),
@@ -97,13 +111,15 @@ def _entropy_spans(candidates: str, window: int) -> Column:
 
         def step(st: Column, y: Column) -> Column:
             new, old = y["new"], y["old"]
-            n_new = F.get(st["n"], new)
-            n_old = F.get(st["n"], old) + (new == old).cast("int")
+            n_new = count_of(st["n"], new)
+            n_old = count_of(st["n"], old) + (new == old).cast("int")
             gone = F.when(old >= 0, _term(n_old) - _term(n_old - 1)).otherwise(F.lit(0.0))
             total = st["sum"] + _term(n_new + 1) - _term(n_new) - gone
             i = st["i"] + 1
             good = (i >= window) & (F.lit(math.log2(window)) - total / window >= bits)
-            counts = F.transform(st["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
+            into, out_of = F.floor(new / IN_WORD), F.when(old >= 0, F.floor(old / IN_WORD)).otherwise(F.lit(-1).cast("long"))
+            nothing = F.lit(0).cast("long")
+            counts = F.transform(st["n"], lambda c, k: c + F.when(k == into, one(new)).otherwise(nothing) - F.when(k == out_of, one(old)).otherwise(nothing))
             return F.struct(
                 counts.alias("n"),
                 total.alias("sum"),

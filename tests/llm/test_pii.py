@@ -18,6 +18,32 @@ def test_bounded_work_on_long_runs():
     assert isinstance(pii.find(text, pii.train())[1], list)
 
 
+def test_parts_with_thousands_of_zeros():
+    text = f"a {'0' * 6000}.1.1.1 b 1.2.3.{'0' * 5000}7 c 1.2.3.{'9' * 5000}"
+    assert [s[:2] for s in pii.base_spans(text) if s[1] == 1] == [(2, 1), (6011, 1)]
+    assert pii.find(text, pii.train())[0] == pii.base_spans(text)
+
+
+def test_blocks_do_not_change_the_best_segmentation():
+    rng, model = random.Random(12), pii.train()
+    for _ in range(150):
+        text, _ = pii.example(rng)
+        text = text.replace("\n", " ")
+        for m in pii._ISLAND.finditer(text):
+            want = model.decode(text, *m.span(), size=10**6)
+            assert all(model.decode(text, *m.span(), size=k) == want for k in (1, 2, 7, 20))
+
+
+def test_very_long_tokens():
+    """Megabytes without white space: one number, one word with digits, and base64."""
+    model = pii.train()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rng = random.Random(2)
+    blob = "".join(rng.choice(alphabet) for _ in range(1_000_000))
+    for text in ("1" * 3_000_000, "a1" * 1_000_000, blob):
+        assert pii.find(f"x {text} call +49 170 5551234", model)[0][-1][1] == 3
+
+
 def segmentations(n, found):
     """All ways to cut n tokens into single tokens and candidate segments."""
     by = {}
