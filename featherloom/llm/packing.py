@@ -27,7 +27,8 @@ GROUP = 8192
 OPEN = 0.02
 #: Chunks of text whose ids a worker keeps.
 CACHE = 1_000_000
-_PUNCTUATION = b".,;:!?"
+#: ASCII characters that are neither letters nor digits nor white space: to the tokenizer, a run of them behind letters is a word.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOKENIZERS: dict[str, object] = {}
 _IDS: dict[str, dict[bytes, bytes]] = {}
@@ -80,25 +81,25 @@ def _encode(words: list[str], path: str) -> list[bytes]:
 
 def learn_parts(missing: list[bytes], known: dict[bytes, bytes], path: str) -> None:
     """Add the ids of parts to `known`. Letters before ASCII punctuation at the end of a part are a word of their own."""
-    cores, tails, whole = {}, {}, []
+    cores, tails, whole, cut_off = {}, {}, [], []
     for w in missing:
         core = w.rstrip(_PUNCTUATION)
-        word = core.decode("utf-8", "surrogatepass")
-        if _plain(word):
-            cores.setdefault(core, word)
-            if len(core) < len(w):
-                tails[w[len(core) :]] = None
-        else:
-            whole.append(w)
-    cores = {k: v for k, v in cores.items() if k not in known}
-    ids = dict(zip(cores, _encode_plain(list(cores.values()), path), strict=True))
+        if core not in cores:
+            word = core.decode("utf-8", "surrogatepass")
+            if not _plain(word):
+                whole.append(w)
+                continue
+            if core not in known:
+                cores[core] = word
+        if len(core) < len(w):
+            tail = w[len(core) :]
+            tails[tail] = None
+            cut_off.append((w, core, tail))
+    known.update(zip(cores, _encode_plain(list(cores.values()), path), strict=True))
     other = [*whole, *(t for t in tails if t not in known)]
-    ids |= zip(other, _encode([w.decode("utf-8", "surrogatepass") for w in other], path), strict=True)
-    known |= ids
-    for w in missing:
-        if w not in known:
-            core = w.rstrip(_PUNCTUATION)
-            known[w] = known[core] + known[w[len(core) :]]
+    known.update(zip(other, _encode([w.decode("utf-8", "surrogatepass") for w in other], path), strict=True))
+    for w, core, tail in cut_off:
+        known[w] = known[core] + known[tail]
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
@@ -209,9 +210,16 @@ class Bins:
         t_size, t_bin = self.sizes[theirs], self.where[theirs]
         t_room, t_ahead = room[t_bin], self.fill[t_bin] - self.fill[s]
         best, gain = None, 0
-        groups = [(int(i),) for i in mine]
-        groups += [(int(a), int(b)) for k, a in enumerate(mine) for b in mine[k + 1 :]]
-        for group in {tuple(int(self.sizes[i]) for i in g): g for g in groups}.values():
+        # one item, or two, of each size: a bin has less than the root of 2 * capacity different sizes
+        by_size: dict[int, list[int]] = {}
+        for i in mine.tolist():
+            own = by_size.setdefault(int(self.sizes[i]), [])
+            if len(own) < 2:
+                own.append(i)
+        few = list(by_size.values())
+        groups = [(x[0],) for x in few] + [tuple(x) for x in few if len(x) == 2]
+        groups += [(a[0], b[0]) for k, a in enumerate(few) for b in few[k + 1 :]]
+        for group in groups:
             size = int(sum(self.sizes[i] for i in group))
             if len(group) == 1:
                 ahead = self.fill[open_bins] - self.fill[s]

@@ -110,3 +110,22 @@ def test_edges(spark, table):
     assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
     small = packing.pack_documents(docs, tokenizer_path(), group=2).collect()
     assert len(small) == len(rows) and valid(small, 4096) >= 3
+
+
+def test_punctuation_behind_parts_that_are_known(whole):
+    """Letters before ASCII punctuation are a word of their own; what else ends a part may run on into the punctuation."""
+    packing.forget()
+    for some in (["abc”", "555-98", "wörd", "don't", "x'"], ["abc”.", "555-98.", "wörd'$%", "don't!'", "x's", "'salt", "abc””", "...", "wörd.'s", "漢字.", "漢字"]):
+        for t, got in zip(some, packing.token_bytes(some, tokenizer_path()), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole(t), t
+
+
+def test_thousands_of_equal_items_in_a_bin():
+    """One bin of 4,000 items of one token, and bins with room for some of them."""
+    sizes = np.array([1] * 4000 + [4090] * 3)
+    bins = packing.Bins(sizes, 4096)
+    bins.where = np.r_[np.zeros(4000, np.int64), [1, 2, 3]]
+    bins.fill = np.array([4000, 4090, 4090, 4090], np.int64)
+    assert bins.exchange(0) and bins.fill.sum() == sizes.sum() and bins.fill.max() <= 4096
+    where = packing.pack(sizes)
+    assert np.bincount(where, weights=sizes).max() <= 4096 and len(set(where.tolist())) == 4
