@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,36 +68,70 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
 
 
+#: Cells of the tables that are filled side by side.
+_CELLS = 1 << 20
+
+
+def _padded(texts: list[str], width: int, before: int) -> np.ndarray:
+    """Code points, a row for each text, behind `before` zeros and filled up with zeros to `width` characters."""
+    out = np.zeros((len(texts), before + width), np.uint32)
+    for row, t in zip(out, texts, strict=True):
+        row[before : before + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+    return out
+
+
+def _aligned(a: list[str], b: list[str], n: int) -> np.ndarray:
+    """N-gram edit distances of pairs of about the same lengths: row by row of their tables, all pairs at once."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    wide, deep, every = int(la.max()), int(lb.max()), np.arange(len(a))
+    left, right = _padded(a, wide, n - 1), _padded(b, deep, n - 1)
+    steps = np.arange(wide + 1)
+    row, out = np.tile(steps.astype(float), (len(a), 1)), np.zeros(len(a))
+    for j in range(1, deep + 1):
+        cost, total = np.zeros((len(a), wide)), np.full((len(a), wide), float(n))
+        for k in range(n):
+            x = left[:, k : k + wide]
+            same = x == right[:, j - 1 + k, None]
+            cost += ~same
+            total -= same & (x == 0)
+        new = np.empty_like(row)
+        new[:, 0] = j
+        # a pair of paddings alone costs nothing and counts nothing
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + cost / np.maximum(total, 1))
+        row = np.minimum.accumulate(new - steps, 1) + steps
+        done = lb == j
+        out[done] = row[every[done], la[done]]
+    return out
+
+
+def ngram_scores(a: list[str], b: list[str], n: int = 3) -> np.ndarray:
+    """Similarities of pairs by n-gram edit distance (Kondrak, 2005), 0 if either text is empty. Pairs of like lengths are
+    compared together."""
+    out, long = np.zeros(len(a)), []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if x and x == y:
+            out[i] = 1.0
+        elif x and y and min(len(x), len(y)) < n:
+            out[i] = sum(p == q for p, q in zip(x, y, strict=False)) / max(len(x), len(y))
+        elif x and y:
+            long.append(i)
+    long.sort(key=lambda i: (len(a[i]), len(b[i])))
+    while long:
+        many = max(1, min(len(long), _CELLS // (len(a[long[-1]]) + n)))
+        some, long = long[-many:], long[:-many]
+        out[some] = 1.0 - _aligned([a[i] for i in some], [b[i] for i in some], n) / np.array([max(len(a[i]), len(b[i])) for i in some])
+    return out
+
+
 def ngram_distance(a: str, b: str, n: int = 3) -> float:
-    """Similarity by n-gram edit distance (Kondrak, 2005), 0 if either is empty."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    if len(a) < n or len(b) < n:
-        return sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))
-    left = "\0" * (n - 1) + a
-    row = [float(j) for j in range(len(a) + 1)]
-    for j in range(1, len(b) + 1):
-        window = b[j - n : j] if j >= n else "\0" * (n - j) + b[:j]
-        new = [float(j)]
-        for i in range(1, len(a) + 1):
-            cost, total = 0, n
-            for k in range(n):
-                x = left[i - 1 + k]
-                if x != window[k]:
-                    cost += 1
-                elif x == "\0":
-                    total -= 1
-            new.append(min(new[i - 1] + 1, row[i] + 1, row[i - 1] + cost / total))
-        row = new
-    return 1.0 - row[-1] / max(len(a), len(b))
+    """Similarity of one pair."""
+    return float(ngram_scores([a], [b], n)[0])
 
 
 def ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ngram_distance(p.strip().lower(), q.strip().lower(), n) for p, q in zip(x, y, strict=True)])
+        return pd.Series(ngram_scores([p.strip().lower() for p in x], [q.strip().lower() for q in y], n))
 
     return score(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 

@@ -269,12 +269,20 @@ def _smart_slots(names, ftype, state, max_cardinality=MAX_CARDINALITY, top_k=TOP
 # maps
 
 
+#: Different keys that the map columns of an encoder may have.
+MAX_KEYS = 100_000
+
+
 def learn_keys(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
-    """The keys of each map column, in order, by one distinct over all columns' keys."""
+    """The keys of each map column, in order, by one distinct over all columns' keys. Each key becomes slots of the vector, so that
+    their number is bounded: more than MAX_KEYS are an error."""
     out: dict[str, list[str]] = {n: [] for n in names}
     if names:
         pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.map_keys(_c(n)).alias("k")) for i, n in enumerate(names)]))
-        for r in df.select(pairs.alias("x")).select("x.f", F.explode("x.k").alias("k")).distinct().collect():
+        found = df.select(pairs.alias("x")).select("x.f", F.explode("x.k").alias("k")).distinct().limit(MAX_KEYS + 1).collect()
+        if len(found) > MAX_KEYS:
+            raise ValueError(f"the maps {names} have more than {MAX_KEYS} different keys")
+        for r in found:
             out[names[r["f"]]].append(r["k"])
     return {n: sorted(k) for n, k in out.items()}
 

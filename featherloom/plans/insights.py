@@ -102,12 +102,10 @@ def correlation_insights(df: DataFrame, vector: str, score: str, key: str, top_k
     from .quality import moments
 
     slots = df.schema[vector].metadata["slots"]
-    mean, cov, ends, _ = moments(df, vector, score, len(slots))
-    sd = np.sqrt(np.diag(cov))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        corr = np.nan_to_num(cov[:-1, -1] / (sd[:-1] * sd[-1]))
-    width = ends[1, :-1] - ends[0, :-1]
-    shift, scale = {"znorm": (mean[:-1], sd[:-1]), "minmax": (ends[0, :-1], width), "minmax_centered": ((ends[0, :-1] + ends[1, :-1]) / 2, width / 2)}[norm]
+    m = moments(df, vector, score, len(slots), label_only=True)
+    mean, sd, least, greatest = (x[:-1] for x in (m.mean, np.sqrt(m.variance), m.least, m.greatest))
+    corr = np.nan_to_num(m.corr[-1, :-1], posinf=0.0, neginf=0.0)
+    shift, scale = {"znorm": (mean, sd), "minmax": (least, greatest - least), "minmax_centered": ((least + greatest) / 2, (greatest - least) / 2)}[norm]
     scale = np.where(scale > 0, scale, np.inf)
     weights = F.array(*[F.struct(F.lit(s["name"]).alias("slot"), F.lit(float(m)).alias("m"), F.lit(float(c / k)).alias("w")) for s, m, c, k in zip(slots, shift, corr, scale, strict=True)])
     each = F.zip_with(vector, weights, lambda x, w: F.struct((-F.abs((x - w["m"]) * w["w"])).alias("a"), w["slot"].alias("slot"), ((x - w["m"]) * w["w"]).alias("d")))

@@ -172,6 +172,7 @@ def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str
     none is left that is an error."""
     trials = [Trial(name, params) for name, grids in candidates for params in grids]
     parts = how.parts(df, key)
+    failures: list[Exception] = []
 
     def run(job: tuple[Trial, int]) -> tuple[Trial, float | None]:
         trial, i = job
@@ -179,7 +180,8 @@ def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str
             model = estimator(trial.model, trial.params).fit(parts[i][0])
             return trial, measure(metric, model, parts[i][1], vector)
         except Exception as e:  # noqa: BLE001 - a grid point that cannot be fitted is left out
-            log.warning("%s %s failed: %s", trial.model, trial.params, str(e)[:200])
+            log.warning("%s %s failed", trial.model, trial.params, exc_info=True)
+            failures.append(e)
             return trial, None
 
     with ThreadPoolExecutor(how.parallelism) as pool:
@@ -188,7 +190,7 @@ def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str
                 trial.scores.append(score)
     done = [t for t in trials if len(t.scores) == len(parts)]
     if not done:
-        raise RuntimeError("no candidate could be fitted")
+        raise RuntimeError(f"no candidate could be fitted; {len(failures)} fits failed, the first by: {str(failures[0])[:500] if failures else 'no score'}") from (failures or [None])[0]
     return sorted(done, key=lambda t: -t.score if evaluators.METRICS[metric][1] else t.score)
 
 

@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +91,8 @@ def correlations(df: DataFrame, names: list[str], label: str) -> DataFrame:
 
 def vary_enough(df: DataFrame, vector: str, least: float = 1e-5) -> list[int]:
     """Slots whose sample variance is above `least`."""
-    rows = df.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v")).where(F.col("v") > least)
-    return sorted(r["i"] for r in rows.collect())
+    row = df.agg(Summarizer.metrics("count", "variance").summary(array_to_vector(F.col(vector))).alias("s")).first()["s"]
+    return [i for i, v in enumerate(row["variance"].toArray()) if v > least] if row and row["count"] else []
 
 
 @dataclass(frozen=True)
@@ -108,6 +110,7 @@ class CheckParams:
     categorical_label: bool | None = None
     remove_bad: bool = False
     skip_hashed: bool = False  # no correlations for hash buckets
+    label_only: bool = False  # correlations with the label alone, for wide vectors
 
 
 @dataclass
@@ -126,37 +129,44 @@ class SlotStatistics:
     reasons: list[str] = field(default_factory=list)
 
 
-def moments(df: DataFrame, vector: str, label: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Mean, covariance (sample) and extremes of the slots and the label, by one job: sums of squares are added up in
-    each partition, so that nothing grows with the rows."""
-    import pandas as pd
+@dataclass(frozen=True)
+class Moments:
+    """Of the slots and, last, the label: mean, sample variance and extremes; corr: the correlations of all with all, or (a
+    single row) with the label."""
 
-    k = size + 1
+    n: int
+    mean: np.ndarray
+    variance: np.ndarray
+    least: np.ndarray
+    greatest: np.ndarray
+    corr: np.ndarray
 
-    def part(batches):
-        n, s, q = 0, np.zeros(k), np.zeros((k, k))
-        lo, hi, shift = np.full(k, np.inf), np.full(k, -np.inf), None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.column_stack([np.stack(pdf["v"].to_numpy()), pdf["y"].to_numpy()]).astype(float)
-            lo, hi = np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0))
-            shift = x.mean(0) if shift is None else shift
-            d = x - shift
-            n, s, q = n + len(x), s + d.sum(0), q + d.T @ d
-        if n:
-            mean = shift + s / n
-            yield pd.DataFrame([(n, mean.tolist(), (q - np.outer(s, s) / n).ravel().tolist(), lo.tolist(), hi.tolist())], columns=["n", "mean", "m2", "lo", "hi"])
-
-    rows = df.select(F.col(vector).alias("v"), F.col(label).cast("double").alias("y")).where("y is not null")
-    n, mean, m2 = 0, np.zeros(k), np.zeros((k, k))
-    lo, hi = np.full(k, np.inf), np.full(k, -np.inf)
-    for r in rows.mapInPandas(part, "n long, mean array<double>, m2 array<double>, lo array<double>, hi array<double>").toLocalIterator():
-        d, total = np.array(r.mean) - mean, n + r.n
-        m2 += np.array(r.m2).reshape(k, k) + np.outer(d, d) * n * r.n / total
-        mean, n = mean + d * r.n / total, total
-        lo, hi = np.minimum(lo, r.lo), np.maximum(hi, r.hi)
-    return mean, m2 / max(1, n - 1), np.stack([lo, hi]), n
+
+def moments(df: DataFrame, vector: str, label: str, size: int, method: str = "pearson", label_only: bool = False) -> Moments:
+    """Sums are added up in the JVM by tree aggregations, so that the driver gets one result, whatever the number of
+    partitions: the matrix of all correlations, or with label_only a row. What does not vary has no correlation (nan)."""
+    k = size + 1
+    y = F.col(label).cast("double")
+    rows = df.where(y.isNotNull()).select(array_to_vector(F.concat(F.col(vector), F.array(y))).alias("v"), F.col(vector).alias("x"), y.alias("y"))
+    s = rows.agg(Summarizer.metrics("count", "mean", "variance", "min", "max").summary(F.col("v")).alias("s")).first()["s"]
+    if not s or not s["count"]:
+        none = np.zeros(k)
+        return Moments(0, none, none, np.full(k, np.inf), np.full(k, -np.inf), np.full((1 if label_only else k, k), math.nan))
+    n, mean, variance = s["count"], s["mean"].toArray(), s["variance"].toArray()
+    if n < 2:
+        corr = np.full((1 if label_only else k, k), math.nan)
+    elif label_only and method == "pearson":
+        # y is centred first, so that the sums of products are not the difference of large numbers
+        off = F.transform(F.concat(F.col("x"), F.array("y")), lambda x: x * (F.col("y") - F.lit(float(mean[-1]))))
+        products = rows.agg(Summarizer.mean(array_to_vector(off)).alias("m")).first()["m"].toArray()
+        sd = np.sqrt(variance)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = (products * n / (n - 1) / (sd * sd[-1]))[None]
+    else:
+        corr = Correlation.corr(rows, "v", method).first()[0].toArray()
+        corr[variance <= 0, :] = corr[:, variance <= 0] = math.nan
+        corr = corr[-1:] if label_only else corr
+    return Moments(n, mean, variance, s["min"].toArray(), s["max"].toArray(), corr)
 
 
 def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = CheckParams()) -> tuple[list[SlotStatistics], list[int]]:
@@ -166,21 +176,21 @@ def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = C
     f = sample_fraction(n, params.check_sample)
     if f < 1:
         df = df.sample(False, f, params.sample_seed)
-    source = df
-    if params.correlation == "spearman":
-        source = _ranked(df, vector, label, len(slots))
-    mean, cov, ends, n = moments(df, vector, label, len(slots))
-    rank_cov = moments(source, vector, label, len(slots))[1] if source is not df else cov
-    sd = np.sqrt(np.diag(rank_cov))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        corr = rank_cov / np.outer(sd, sd)
+    m = moments(df, vector, label, len(slots), params.correlation, params.label_only)
+    corr = m.corr
     if params.skip_hashed:
         hashed = [i for i, s in enumerate(slots) if (s.get("descriptor") or "").startswith("hash_")]
-        corr[hashed, :] = corr[:, hashed] = math.nan
+        corr[:, hashed] = math.nan
+        if len(corr) > 1:
+            corr[hashed, :] = math.nan
+    mine = corr[-1]
     out = [
-        SlotStatistics(s["name"], s.get("grouping"), s.get("indicator"), float(mean[i]), float(cov[i, i]), float(ends[0, i]), float(ends[1, i]), float(corr[i, -1]))
+        SlotStatistics(s["name"], s.get("grouping"), s.get("indicator"), float(m.mean[i]), float(m.variance[i]), float(m.least[i]), float(m.greatest[i]), float(mine[i]))
         for i, s in enumerate(slots)
     ]
+    n = m.n
+    with np.errstate(invalid="ignore"):
+        near = np.tril(np.abs(corr[:-1, :-1]) > params.max_feature_correlation, -1).any(1) if len(corr) > 1 else np.zeros(len(slots), bool)
     _categorical(df, vector, label, slots, out, params, n)
     for i, s in enumerate(out):
         if s.variance <= params.min_variance:
@@ -190,7 +200,7 @@ def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = C
             s.reasons.append("correlation with the label is too high")
         if not math.isnan(c) and c < params.min_correlation:
             s.reasons.append("correlation with the label is too low")
-        if any(abs(corr[i, j]) > params.max_feature_correlation for j in range(i) if not math.isnan(corr[i, j])):
+        if near[i]:
             s.reasons.append("correlation with an earlier slot")
         if s.cramers_v is not None and s.cramers_v > params.max_cramers_v:
             s.reasons.append("association with the label")
@@ -235,16 +245,3 @@ def cramers_v_of(t: np.ndarray) -> float | None:
     total = t.sum()
     expected = np.outer(t.sum(1), t.sum(0)) / total
     return float(np.sqrt(((t - expected) ** 2 / expected).sum() / total / (min(t.shape) - 1)))
-
-
-def _ranked(df: DataFrame, vector: str, label: str, size: int) -> DataFrame:
-    """Slots and label as average ranks, a window a column; for samples of bounded size."""
-    from pyspark.sql import Window
-
-    cols = df.select(*[F.get(F.col(vector), F.lit(i)).alias(f"s{i}") for i in range(size)], F.col(label).cast("double").alias("y"))
-    for c in [*[f"s{i}" for i in range(size)], "y"]:
-        counts = cols.groupBy(c).agg(F.count("*").alias("__n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = counts.select(F.col(c), (F.sum("__n").over(w) - (F.col("__n") - 1) / 2).alias("__rank"))
-        cols = cols.join(ranks, c).drop(c).withColumnRenamed("__rank", c)
-    return cols.select(F.array(*[F.col(f"s{i}") for i in range(size)]).alias(vector), F.col("y").alias(label))

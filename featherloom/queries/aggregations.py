@@ -47,7 +47,7 @@ def agg_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_user(spark, sf_dir, [EventFeature(n, big, "Binary", a) for n, a in names.items()])
 
 
-@query(f"""with e as (select *, case when event_type <> 'view' then event_type else '' end s from events where event_id % 7 = 0)
+@query(f"""with e as (select *, case when event_type <> 'view' then event_type else '' end s from events)
   select cast(user_id as varchar) as key, string_agg(nullif(s, ''), ' ' order by ts, event_id) {_BEFORE} texts, string_agg(nullif(s, ''), ',' order by ts, event_id) {_BEFORE} areas,
   mode(event_type order by event_type) {_BEFORE} mode, array_to_string(list_sort(list(distinct event_type) {_BEFORE}), '|') as kinds,
   array_to_string(flatten(list([event_type, cast(event_id as varchar)] order by ts, event_id) {_BEFORE}), '|') as listed from e group by user_id""")

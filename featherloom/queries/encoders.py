@@ -157,7 +157,8 @@ def vectorize_tree_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slot_sums(df, [V.fit(df, "tree", ["q", "day"], "Real", label="label")])
 
 
-@query("""select cast(count(*) as bigint) as n, 18 as slots, round(sum(c_acctbal), 2) balance, count(distinct c_mktsegment) segments from customer""")
+@query("""with s as (select least(5, count(*)) k from (select c_mktsegment from customer group by 1 having count(*) >= 10)), n as (select least(5, count(*)) k from (select c_nationkey from customer group by 1 having count(*) >= 10))
+  select count(*) as n, cast(8 + any_value(s.k) + any_value(n.k) as integer) as slots, round(sum(c_acctbal), 2) balance, any_value(s.k) segments from customer, s, n""")
 def auto_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default encoders of all columns by type, then a choice of slots by provenance."""
     df = table(spark, sf_dir, "customer").select("c_acctbal", "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation"), (F.col("c_acctbal") > 0).alias("paid"))

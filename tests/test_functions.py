@@ -94,3 +94,31 @@ def test_arithmetic_as_local(spark, pairs):
         for r, (x, y) in zip(df.select(fn(a, b)).collect(), pairs, strict=True):
             want = LOCAL[name](x, y)
             assert (r[0] is None) == (want is None) and (want is None or m.isclose(r[0], want, rel_tol=1e-12, abs_tol=1e-300))
+
+
+def plain_ngram_similarity(a: str, b: str, n: int) -> float:
+    """Kondrak's recurrence, cell by cell; n - 1 zeros stand before both texts and are equal for nothing."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < n:
+        return sum(p == q for p, q in zip(a, b, strict=False)) / max(len(a), len(b))
+    x, y = "\0" * (n - 1) + a, "\0" * (n - 1) + b
+    d = {(i, 0): float(i) for i in range(len(a) + 1)} | {(0, j): float(j) for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            pairs = [(p, q) for p, q in zip(x[i - 1 : i - 1 + n], y[j - 1 : j - 1 + n], strict=True) if not p == q == "\0"]
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + sum(p != q for p, q in pairs) / len(pairs))
+    return 1.0 - d[len(a), len(b)] / max(len(a), len(b))
+
+
+def test_ngram_scores_against_a_plain_version():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 30])))
+    for n in (2, 3, 4):
+        a, b = [word() for _ in range(300)], [word() for _ in range(300)]
+        got = text.ngram_scores(a, b, n)
+        assert all(abs(g - plain_ngram_similarity(x, y, n)) < 1e-12 for g, x, y in zip(got, a, b, strict=True))

@@ -22,9 +22,3 @@ def test_entry(spark):
     out = entry.entry(spark)
     assert out.columns == ["key", "spent", "n_before", "errors"] and out.count() > 0
     assert entry.queries().keys() >= entry.oracle_sql().keys()
-
-
-def test_agg_text_reads_all_events(spark):
-    """The rows of the query's SQL without its filter of events."""
-    whole = ORACLES["agg_text"].replace(" where event_id % 7 = 0", "")
-    assert_same(QUERIES["agg_text"](spark, SMALL), whole, SMALL)
