@@ -32,8 +32,6 @@ BROADCAST_IDS = 2_000_000
 #: Weight of the unigram model in the bigram model, and of the uniform one in the unigram model, in tokens.
 BIGRAM_PRIOR = 4.0
 UNIGRAM_PRIOR = 0.5
-#: Word keys that a worker keeps.
-CACHE = 300_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE = np.uint64(1)
@@ -41,17 +39,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _START = np.uint64(0x6A09E667F3BCC908)
 
 
-class _Words(dict):
+class _Vocabulary(dict):
+    """Words numbered as they come."""
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word) & ~1
+        self[word] = out = len(self)
         return out
 
-
-_WORDS = _Words()
-
-
-def forget_words() -> None:
-    _WORDS.clear()
+    def keys_of(self) -> np.ndarray:
+        """Hashes by number; even ones, those of bigrams are odd."""
+        return np.fromiter(map(xxhash.xxh64_intdigest, self), np.uint64, len(self)) & ~_ONE
 
 
 def words(text: str | None) -> list[bytes]:
@@ -66,61 +63,76 @@ def bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) | _ONE
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different codes in ascending order, the place of each code among them, and how often each occurs. Codes that leave
+    room for it are sorted with their positions in the low bits: values sort several times faster than an index."""
+    n = len(codes)
+    bits = max(1, (n - 1).bit_length())
+    if not n or int(codes.max()) >> (64 - bits):
+        return np.unique(codes, return_inverse=True, return_counts=True)
+    packed = (codes << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    at = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    packed >>= np.uint64(bits)
+    first = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
+    counts = np.diff(np.r_[first, n])
+    back = np.empty(n, np.int64)
+    back[at] = np.repeat(np.arange(len(first)), counts)
+    return packed[first], back, counts
+
+
 class Chunk:
-    """Documents as one row of word keys; counted() finds their distinct words and bigrams and how often those occur."""
+    """Documents as one row of words, numbered in `vocabulary` (their keys); counted() finds their bigrams and how often those
+    occur."""
 
-    def __init__(self, word: np.ndarray, lengths: np.ndarray, target: np.ndarray):
-        self.word, self.lengths, self.target = word, lengths, target
-        self.name = xxhash.xxh3_128_hexdigest(word.tobytes() + lengths.tobytes() + target.tobytes())
+    def __init__(self, vocabulary: np.ndarray, word: np.ndarray, lengths: np.ndarray, target: np.ndarray):
+        self.vocabulary, self.word, self.lengths, self.target = vocabulary, word, lengths, target
+        digest = xxhash.xxh3_128()
+        for x in (vocabulary, word, lengths, target):
+            digest.update(x.tobytes())
+        self.name = digest.hexdigest()
 
     def counted(self) -> Chunk:
-        word, lengths = self.word, self.lengths
-        n = len(word)
+        word, lengths, start = self.word, self.lengths, len(self.vocabulary)
         self.begun = lengths > 0
         self.first = (np.cumsum(lengths) - lengths)[self.begun]
-        before = np.empty(n, np.uint64)
-        before[1:] = word[:-1]
-        before[self.first] = _START
-        pairs, at, self.pair, self.pair_n = np.unique(bigrams(before, word), return_index=True, return_inverse=True, return_counts=True)
-        words, self.word_of = np.unique(word[at], return_inverse=True)  # of each distinct bigram
+        #: The word before each, the start of a document being a word of its own.
+        self.before = np.empty(len(word), np.int64)
+        self.before[1:] = word[:-1]
+        self.before[self.first] = start
+        pairs, self.pair, self.pair_n = distinct(self.before.astype(np.uint64) * np.uint64(start + 1) + word)
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        known = np.append(self.vocabulary, _START)
+        context, last = np.divmod(pairs, np.uint64(start + 1))
         #: Keys in ascending order: words, bigrams, and the start of a document, which counts as a word.
-        self.keys = np.unique(np.concatenate((words, pairs, [_START])))
-        self.pair_at, self.word_at = np.searchsorted(self.keys, pairs), np.searchsorted(self.keys, words)
-        self.start_at = int(np.searchsorted(self.keys, _START))
+        self.keys, at = np.unique(np.concatenate((known, bigrams(known[context], known[last]))), return_inverse=True)
+        self.word_at, self.pair_at = at[: start + 1], at[start + 1 :]
         return self
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each key occurs, and how often in target documents."""
-        mine = np.bincount(self.pair[self.target[self.doc]], minlength=len(self.pair_n))
-        out = []
-        for pair, starts in ((self.pair_n, self.begun.sum()), (mine, (self.begun & self.target).sum())):
-            n = np.zeros(len(self.keys), np.uint32)
-            n[self.pair_at] = pair
-            n[self.word_at] = np.bincount(self.word_of, pair, len(self.word_at))
-            n[self.start_at] = starts
-            out.append(n)
+        mine = self.target[self.doc]
+        at, out = np.concatenate((self.word_at, self.pair_at)), []
+        for word, pair, starts in ((self.word, self.pair, self.begun), (self.word[mine], self.pair[mine], self.begun & self.target)):
+            n = np.concatenate((np.bincount(word, minlength=len(self.vocabulary)), [starts.sum()], np.bincount(pair, minlength=len(self.pair_n))))
+            out.append(np.bincount(at, n, len(self.keys)).astype(np.uint32))
         return tuple(out)
 
     def packed(self) -> tuple[bytes, bytes]:
-        """The distinct words' keys, most frequent first, and the words as places in them."""
-        words, at, n = np.unique(self.word, return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        return words[order].tobytes(), _press(rank[at])
+        """The words' keys, and the words as numbers."""
+        return self.vocabulary.tobytes(), _press(self.word)
 
     @classmethod
     def unpacked(cls, words: bytes, places: bytes, lengths: np.ndarray, target: np.ndarray) -> Chunk:
-        return cls(np.frombuffer(words, np.uint64)[_open(places, np.uint32)], lengths, target)
+        return cls(np.frombuffer(words, np.uint64), _open(places, np.uint32), lengths, target)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
-    """(ids, chunk): texts become word keys as they come, so that neither texts nor word objects pile up."""
-    ids, parts, target, held = [], [], [], 0
+    """(ids, chunk): texts become word numbers as they come, so that no texts pile up, and of the words only different ones."""
+    ids, parts, target, held, known = [], [], [], 0, _Vocabulary()
 
     def made() -> tuple[list, Chunk]:
-        return ids, Chunk(np.concatenate([np.empty(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64), np.array(target, bool))
+        return ids, Chunk(known.keys_of(), np.concatenate([np.empty(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64), np.array(target, bool))
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -128,12 +140,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, Chunk]]:
                 n = len(t) if t else 0
                 if ids and held + n > CHUNK_CHARS:
                     yield made()
-                    ids, parts, target, held = [], [], [], 0
+                    ids, parts, target, held, known = [], [], [], 0, _Vocabulary()
                 w = words(t)
-                if len(_WORDS) > CACHE:
-                    _WORDS.clear()
                 ids.append(i)
-                parts.append(np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w)))
+                parts.append(np.fromiter(map(known.__getitem__, w), np.uint32, len(w)))
                 target.append(bool(y))
                 held += n
     if ids:
@@ -175,7 +185,7 @@ def _ask(docs: DataFrame, buckets: int) -> DataFrame:
                 names=["chunk", "bucket", "keys", "n", "m"],
             )
 
-    return docs.mapInArrow(tidy(run, forget_words), "chunk string, bucket int, keys binary, n binary, m binary")
+    return docs.mapInArrow(tidy(run), "chunk string, bucket int, keys binary, n binary, m binary")
 
 
 def _answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +217,7 @@ def _tell(docs: DataFrame, id_kind: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(tidy(run, forget_words), f"chunk string, ids array<{id_kind}>, target binary, lengths binary, words binary, places binary")
+    return docs.mapInArrow(tidy(run), f"chunk string, ids array<{id_kind}>, target binary, lengths binary, words binary, places binary")
 
 
 def losses(n: np.ndarray, own: tuple, base: tuple[float, float], vocabulary: int) -> np.ndarray:
@@ -219,24 +229,21 @@ def losses(n: np.ndarray, own: tuple, base: tuple[float, float], vocabulary: int
     return -np.log((pair + BIGRAM_PRIOR * unigram) / (context + BIGRAM_PRIOR))
 
 
-def _own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How often each token's key occurs in its document."""
-    _, back, n = np.unique(doc * np.int64(1 << 32) + at, return_inverse=True, return_counts=True)
+def _own_counts(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's word or bigram, one of `size`, occurs in its document."""
+    _, back, n = distinct(doc.astype(np.uint64) * np.uint64(size) + at.astype(np.uint64))
     return n[back]
 
 
 def score_chunk(chunk: Chunk, n: np.ndarray, m: np.ndarray, vocabulary: int, tokens: int, target_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss of each document (nan without words) under the target and the background model."""
     doc, size = chunk.doc, chunk.lengths[chunk.doc]
-    word = chunk.word_of[chunk.pair]
-    own_word, own_pair = _own_counts(doc, word), _own_counts(doc, chunk.pair)
+    own_word = _own_counts(doc, chunk.word, max(1, len(chunk.vocabulary)))
+    own_pair = _own_counts(doc, chunk.pair, max(1, len(chunk.pair_n)))
     own_before = np.empty_like(own_word)
     own_before[1:] = own_word[:-1]
     own_before[chunk.first] = 1
-    before = np.empty(len(word), np.int64)
-    before[1:] = chunk.word_at[word[:-1]]
-    before[chunk.first] = chunk.start_at
-    at = chunk.pair_at[chunk.pair], before, chunk.word_at[word]
+    at = chunk.pair_at[chunk.pair], chunk.word_at[chunk.before], chunk.word_at[chunk.word]
     own = (own_pair, own_before, own_word)
     mine = chunk.target[doc]
     loss_b = losses(tuple(n[x] for x in at), own, (tokens, size), vocabulary)
@@ -284,7 +291,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
             out.append(pd.DataFrame({"id": pd.Series(list(r.ids), dtype=object), "n_words": chunk.lengths, "loss_target": t, "loss_background": b}))
         return pd.concat(out)
 
-    scored = both.groupBy("chunk").applyInPandas(score, f"id {kind}, n_words long, loss_target double, loss_background double")
+    # as many parts as there are buckets, by the size of the corpus: a part has the chunks and counts of some BUCKET_CHARS
+    scored = both.repartition(buckets, "chunk").groupBy("chunk").applyInPandas(score, f"id {kind}, n_words long, loss_target double, loss_background double")
     some = F.col("n_words") > 0
     out = [F.when(some, F.col(c)).alias(c) for c in ("loss_target", "loss_background")]
     return scored.select(F.col("id").alias(id_col), "n_words", *out).withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -47,3 +47,12 @@ def test_repeated_rows_and_no_target(spark):
     df = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "x")], "doc_id long, text string").selectExpr("*", "'clash' as n_words", "2 as target")
     out = lmscore.cross_entropy_difference(df, df.select("doc_id").limit(0)).collect()
     assert len(out) == 3 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+
+
+def test_distinct_against_numpy():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for codes in (np.empty(0, np.uint64), rng.integers(0, 5, 1).astype(np.uint64), rng.integers(0, 40, 999).astype(np.uint64), rng.integers(0, 1 << 64, 500, np.uint64)):
+        for got, want in zip(lmscore.distinct(codes), np.unique(codes, return_inverse=True, return_counts=True), strict=True):
+            assert got.tolist() == want.tolist()
