@@ -11,22 +11,24 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keeps, map_texts
+from .common import cut, keeps, map_texts, slices, small_batches, tidy
 
 WINDOW = 8
-#: Bytes of item text that one automaton holds; more items are scanned for in further blocks.
+#: Bytes of item text that one automaton holds (it takes about 100 bytes for a byte of distinct windows); more items are scanned
+#: for in further blocks.
 BLOCK_BYTES = 4 << 20
 #: Words are runs of these characters, once A-Z are lower-cased.
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Automata that a Python worker keeps; each takes about 100 bytes for a byte of distinct windows.
-KEPT_AUTOMATA = 2
+#: The automaton that a Python worker keeps from task to task, by the name of its block.
 _AUTOMATA: dict[str, tuple] = {}
 keeps("decontam", _AUTOMATA.clear)
 
@@ -61,8 +63,7 @@ def automaton(items: list[tuple[str, str]], size: int) -> tuple:
 
 def cached_automaton(name: str, block, size: int) -> tuple:
     if name not in _AUTOMATA:
-        while len(_AUTOMATA) >= KEPT_AUTOMATA:
-            del _AUTOMATA[next(iter(_AUTOMATA))]
+        _AUTOMATA.clear()
         _AUTOMATA[name] = automaton(block.value, size)
     return _AUTOMATA[name]
 
@@ -115,6 +116,31 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
     yield block
 
 
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FIELDS = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("n_hit", T.LongType()),
+    T.StructField("hit_items", T.ArrayType(T.StringType())),
+    T.StructField("hit_spans", _SPAN),
+]
+_PART = "h binary, ranges array<struct<a: long, b: long>>, items array<string>"
+
+
+def _scanned(texts: list, block, name: str, size: int) -> Iterator[tuple[int, list, set]]:
+    auto, patterns = cached_automaton(name, block, size)
+    for t in texts:
+        yield scan(t, auto, patterns)
+
+
+def _described(text: str | None, n: int, ranges: list[tuple[int, int]], items) -> tuple:
+    ranges = merge(ranges)
+    return n, sum(b - a for a, b in ranges), sorted(items), [{"start": a, "end": b} for a, b in offsets(text or "", ranges)]
+
+
+def _columns(rows: list[tuple]) -> list[list]:
+    return [[r[i] for r in rows] for i in range(len(_FIELDS))]
+
+
 def find_overlap(
     docs: DataFrame,
     items: DataFrame,
@@ -130,40 +156,76 @@ def find_overlap(
     ranges of the original text that lie inside occurrences of item windows).
 
     Null and empty texts have no words and no hits; items without words match nothing; repeated rows each get their
-    result; no items give no hits. Columns of docs with these names give way. There is no shuffle: items are sent
-    to the executors in blocks of at most `block_bytes` of text. A worker holds the automata of at most KEPT_AUTOMATA
-    blocks at a time and goes through the blocks for every batch of documents, so that its memory is bounded.
+    result; no items give no hits. Columns of docs with these names give way. The items of `block_bytes` of text are one
+    automaton, built once in a worker, and the documents are scanned once, without a shuffle. More items are more blocks: the
+    documents are scanned once for each, by one automaton at a time, and what hits there are (few rows) is put together
+    by a hash of the text before it is joined back.
     """
-    spark = docs.sparkSession
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("hit_items", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", span),
-    ]
-    blocks = [
-        (hashlib.sha256(repr((size, b)).encode()).hexdigest(), spark.sparkContext.broadcast(b))
-        for b in item_blocks(items, item_id, item_text, block_bytes)
-    ]
-
-    def make():
-        def apply(texts: list) -> list[list]:
-            n, ranges, found = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
-            for name, block in blocks:
-                auto, patterns = cached_automaton(name, block, size)
-                for i, t in enumerate(texts):
-                    n[i], at, here = scan(t, auto, patterns)
-                    if here:
-                        ranges[i] += at
-                        found[i] |= here
-            merged = [merge(r) for r in ranges]
-            spans = [[{"start": a, "end": b} for a, b in offsets(t, r)] for t, r in zip(texts, merged, strict=True)]
-            return [n, [sum(b - a for a, b in r) for r in merged], [sorted(x) for x in found], spans]
-
-        return apply
-
-    return map_texts(docs, text_col, fields, make, keep, own="decontam")
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _one_block(docs, first, text_col, size, keep)
+    return _many_blocks(docs, chain([first, second], blocks), text_col, size, keep)
+
+
+def _sent(docs: DataFrame, block: list, size: int) -> tuple:
+    return docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr((size, block)).encode()).hexdigest()
+
+
+def _one_block(docs: DataFrame, items: list, text_col: str, size: int, keep: list[str] | None) -> DataFrame:
+    block, name = _sent(docs, items, size)
+
+    def apply(texts: list) -> list[list]:
+        return _columns([_described(t, *found) for t, found in zip(texts, _scanned(texts, block, name, size), strict=True)])
+
+    return map_texts(docs, text_col, _FIELDS, lambda: apply, keep, own="decontam")
+
+
+def _many_blocks(docs: DataFrame, blocks: Iterator[list], text_col: str, size: int, keep: list[str] | None) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(text.alias("t")).where("t is not null")
+    found = reduce(DataFrame.unionByName, [cut(_hits(texts, *_sent(docs, items, size), size)) for items in blocks])
+    # equal texts have equal hits: one of them is enough, and what a text has in several blocks is put together
+    whole = found.distinct().groupBy("h").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    new = {f.name for f in _FIELDS}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text.alias("t"), F.unhex(F.sha2(text, 256)).alias("h")).join(whole, "h", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(T.StructType(_FIELDS))
+        for batch in batches:
+            for part in slices(batch, "t"):
+                rows = []
+                for t, ranges, items in zip(*[part.column(c).to_pylist() for c in ("t", "ranges", "items")], strict=True):
+                    rows.append(_described(t, len(words(t)), [(r["a"], r["b"]) for r in ranges or ()], set(items or ())))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(c, f.type) for c, f in zip(_columns(rows), kinds, strict=True)]], names=["row", *kinds.names])
+
+    small_batches(docs.sparkSession)
+    out = rows.select("row", "t", "ranges", "items").mapInArrow(tidy(run), T.StructType([T.StructField("row", rows.schema["row"].dataType), *_FIELDS]))
+    return out.select("row.*", *[f.name for f in _FIELDS])
+
+
+def _hits(texts: DataFrame, block, name: str, size: int) -> DataFrame:
+    """(h, ranges, items): of the texts with hits of one block, a hash, the word ranges and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                own = part.column("t").to_pylist()
+                rows = [
+                    {"h": hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest(), "ranges": [{"a": a, "b": b} for a, b in ranges], "items": sorted(items)}
+                    for t, (_, ranges, items) in zip(own, _scanned(own, block, name, size), strict=True)
+                    if items
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(T._parse_datatype_string(_PART))
+    small_batches(texts.sparkSession)
+    return texts.mapInArrow(tidy(run, own="decontam"), _PART)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, min_items: int = 2, **options) -> DataFrame:

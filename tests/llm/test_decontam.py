@@ -30,6 +30,9 @@ def test_edges(spark, table):
     docs = table(None, "", long, "p q r", "p q r", extra={"n_words": "clash", "__row": 1})
     out = decontam.find_overlap(docs, items_of(spark, ["p q r", None]))
     assert [(r["n_words"], r["n_hit"]) for r in out.orderBy("doc_id").collect()] == [(0, 0), (0, 0), (300_003, 3), (3, 3), (3, 3)]
+    blocks = decontam.find_overlap(docs, items_of(spark, ["p q r", None, "q"]), block_bytes=1)
+    assert [(r["n_words"], r["n_hit"], r["hit_items"], len(r["hit_spans"])) for r in blocks.orderBy("doc_id").collect()] == [(0, 0, [], 0), (0, 0, [], 0), (300_003, 3, ["0", "2"], 1), *[(3, 3, ["0", "2"], 1)] * 2]
+    assert blocks.columns == out.columns and blocks.dtypes == out.dtypes
     assert {r["n_hit"] for r in decontam.find_overlap(docs, items_of(spark, ["x"]).limit(0)).collect()} == {0}
     assert decontam.find_overlap(docs.limit(0), items_of(spark, ["x"])).count() == 0
 
