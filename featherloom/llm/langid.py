@@ -37,35 +37,41 @@ def letters() -> np.ndarray:
     return _LETTER[0]
 
 
-def codes_of(text: str) -> np.ndarray:
-    """Lower-case letters of a text; each run of other characters, the start and the end are one boundary."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    code = np.where(letters()[code], code, BOUNDARY)
-    code = np.concatenate(([BOUNDARY], code, [BOUNDARY]))
+def codes_of(lower: str) -> np.ndarray:
+    """The letters of a text in lower case; every other character is a boundary."""
+    code = np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.where(letters()[code], code, BOUNDARY)
+
+
+def joined(ahead: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The codes behind those ahead, runs of boundaries drawn together."""
+    code = np.concatenate((ahead, code))
     return code[np.concatenate(([True], (code[1:] != BOUNDARY) | (code[:-1] != BOUNDARY)))]
 
 
 def keys_of(code: np.ndarray, before: int = 0) -> np.ndarray:
-    """N-grams that end after the first `before` codes, each as a 63-bit integer."""
+    """N-grams that end after the first `before` codes (0 to 2), each as a 63-bit integer."""
     one = code[before:]
     two = (code[:-1] << 21 | code[1:])[max(0, before - 1) :]
-    three = (code[:-2] << 42 | code[1:-1] << 21 | code[2:])[code[1:-1] != BOUNDARY] if before == 0 else None
-    if three is None:
-        at = max(0, before - 2)
-        a, b, c = code[at:-2], code[at + 1 : -1], code[at + 2 :]
-        three = (a << 42 | b << 21 | c)[b != BOUNDARY]
+    at = max(0, before - 2)
+    a, b, c = code[at:-2], code[at + 1 : -1], code[at + 2 :]
+    three = (a << 42 | b << 21 | c)[b != BOUNDARY]
     return np.concatenate((one[one != BOUNDARY], two, three))
 
 
 def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the whole text in ascending order, and how often each occurs."""
-    code = codes_of(text) if text else np.empty(0, np.int64)
-    if len(code) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(code) <= CHUNK:
-        return np.unique(keys_of(code), return_counts=True)
-    parts = [np.unique(keys_of(code[max(0, i - 2) : i + CHUNK], min(i, 2)), return_counts=True) for i in range(0, len(code), CHUNK)]
-    return summed(parts)
+    """Distinct n-grams of the whole text in ascending order, and how often each occurs; the start and the end are boundaries. The
+    text is taken in parts of CHUNK characters, so that of a long text only the counts are held."""
+    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    lower, ahead = (text or "").lower(), np.array([BOUNDARY])
+    for i in range(0, len(lower), CHUNK):
+        own = codes_of(lower[i : i + CHUNK])
+        code = joined(ahead, np.append(own, BOUNDARY) if i + CHUNK >= len(lower) else own)
+        if len(code) > len(ahead):
+            got = np.unique(keys_of(code, len(ahead)), return_counts=True)
+            keys, n = summed([(keys, n), got]) if len(keys) else got
+            ahead = code[-2:]
+    return keys, n
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
