@@ -22,11 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder of the cluster. Where none is set there is a temporary one in local mode (tests); on a cluster, whose
+    machines do not see each other's folders, that is an error."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not shared:
-        shared = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="featherloom-")
+        shared = sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        shared = tempfile.mkdtemp(prefix="featherloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared)
     return shared
