@@ -43,8 +43,8 @@ def shingles(text: str | None) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_groups(texts: dict[int, str | None]) -> dict[int, int]:
-    """The smallest id that links reach, for each id."""
+def near_groups(texts: dict[int, str | None], percent: int = 85) -> dict[int, int]:
+    """The smallest id that links reach, for each id. Links: percent of the shingles of both are in both."""
     sets = {i: shingles(t) for i, t in texts.items()}
     root = {i: i for i in sets}
 
@@ -60,7 +60,7 @@ def near_groups(texts: dict[int, str | None]) -> dict[int, int]:
     pairs = {p for own in by.values() for p in combinations(sorted(own), 2)} if len(sets) <= 1500 else set()
     for a, b in pairs:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in sets}
