@@ -16,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,19 +198,29 @@ def _enough(common: str, percent: int) -> str:
     return f"100 * ({common}) >= {percent} * (na + nb - ({common}))"
 
 
-def _other_pairs(postings: DataFrame, rows: int, spread: DataFrame, percent: int) -> DataFrame:
+def _equal(x: str, y: str) -> Column:
+    """How many coordinates of two signatures are equal."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, e: n + e)
+
+
+def _other_pairs(postings: DataFrame, rows: int, spread: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can be similar enough.
 
     A pair has at most as many frequent shingles in common as the one with fewer has, and its rare ones in common are found
     by joining the rare shingles, whose lists are short. So pairs with rare shingles in common come from that join, with their
     number; all others come from the open buckets: members outside of the largest component with each other and with its
-    members, as far as their frequent shingles alone are enough.
+    members, as far as their frequent shingles alone are enough. Two members are compared by their signatures where they meet, in
+    the first bucket that they share, and only those that collide often enough leave the join.
     """
     able = postings.where(f"100 * hot >= {percent} * n")
     known = gathered(_with_bucket(able, _open_buckets(able, rows)), rows)
-    rest = known.where("comp != major").select("token", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("na"), F.col("hot").alias("ha"))
-    pairs = rest.join(known.select("token", "node", "comp", F.col("n").alias("nb"), F.col("hot").alias("hb"), "major"), "token")
-    by_hot = pairs.where(f"comp != xc and (comp = major or x < node) and {_comparable(percent)} and {_enough('least(ha, hb)', percent)}")
+    tokens = known.groupBy("node").agg(F.collect_list("token").alias("own"))
+    known = gathered(known.join(tokens.join(classes.select("node", "sig"), "node"), "node"), rows, PART_ROWS // 4)
+    as_x = {"node": "x", "comp": "xc", "n": "na", "hot": "ha", "own": "ox", "sig": "sx"}
+    rest = known.where("comp != major").select("token", *[F.col(c).alias(n) for c, n in as_x.items()])
+    pairs = rest.join(known.select("token", "node", "comp", F.col("n").alias("nb"), F.col("hot").alias("hb"), "major", "own", "sig"), "token")
+    able_pair = f"comp != xc and (comp = major or x < node) and {_comparable(percent)} and {_enough('least(ha, hb)', percent)}"
+    by_hot = pairs.where(F.expr(able_pair) & (F.array_min(F.array_intersect("ox", "own")) == F.col("token")) & (_equal("sx", "sig") >= matches_for(percent)))
     rare = spread.where(F.col("abroad") & (F.col("f") <= RARE)).select("h", "node", "comp")
     met = rare.select("h", F.col("node").alias("x"), F.col("comp").alias("xc")).join(rare, "h").where("x < node and comp != xc").groupBy("x", "node").agg(F.count("*").alias("k"))
     size = gathered(postings.select("node", "n", "hot").distinct(), rows)
@@ -224,8 +234,7 @@ def _colliding(pairs: DataFrame, rows: int, classes: DataFrame, n_classes: int,
     the candidates alone: b stands in the list of (c, v) if its coordinate c is v."""
     sig = classes.select("node", "sig")
     both = gathered(pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "sa"}), "a"), max(rows, n_classes), PART_ROWS // 4).join(sig.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(equal >= matches).select("a", "b")
+    return both.where(_equal("sa", "sb") >= matches).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,7 +305,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int
             postings = now.drop("comp", "near", "hot")
         n_pairs = n_postings
         if step is _other_pairs:
-            pairs, seen = counted(_other_pairs(now, n_postings, spread, percent))
+            pairs, seen = counted(_other_pairs(now, n_postings, spread, classes, percent))
             n_pairs = seen["n"]
             pairs = gathered(pairs, n_pairs)
         else:
