@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate, islice, pairwise
@@ -417,15 +418,27 @@ def find(text: str | None, model: SemiCRF) -> tuple[list[tuple[int, int, int]],
     if not text:
         return [], []
     base = base_spans(text)
-    taken = sorted((a, b) for a, _, b in base)
+    # what the patterns have taken, overlapping spans drawn together: islands and spans meet it from left to right
+    taken: list[list[int]] = []
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends = [b for _, b in taken]
     added = []
     for m in _ISLAND.finditer(text):
         lo, hi = m.span()
-        inside = [s for s in taken if s[0] < hi and lo < s[1]] if taken else []
-        if inside and sum(b - a for a, b in inside) >= hi - lo - 6:
+        first = last = bisect_right(ends, lo)
+        covered = 0
+        while last < len(taken) and taken[last][0] < hi:
+            covered += taken[last][1] - taken[last][0]
+            last += 1
+        if last > first and covered >= hi - lo - 6:
             continue  # nothing of note is left in it
         for a, b, y in model.decode(text, lo, hi):
-            if not any(s < b and a < e for s, e in inside):
+            k = bisect_right(ends, a, first, last)
+            if k == last or taken[k][0] >= b:
                 added.append((a, y - 1, b))
     return base, sorted(base + added)
 

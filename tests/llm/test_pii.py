@@ -44,6 +44,15 @@ def test_very_long_tokens():
         assert pii.find(f"x {text} call +49 170 5551234", model)[0][-1][1] == 3
 
 
+def test_tens_of_thousands_of_spans():
+    """In islands of their own, and in one."""
+    model = pii.train()
+    for sep in ("\n", " "):
+        text = sep.join(f"10.{i % 256}.{i // 256 % 256}.7" for i in range(8_000))
+        base, every = pii.find(text, model)
+        assert len([s for s in base if s[1] == 1]) == 8_000 and set(base) <= set(every)
+
+
 def segmentations(n, found):
     """All ways to cut n tokens into single tokens and candidate segments."""
     by = {}
