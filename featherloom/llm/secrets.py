@@ -177,13 +177,23 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", n_ch
     brought up to date where a text changed and docs have that column. No row goes; null texts stay null."""
     hidden = "__secrets"
     found = find_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__t")), "__t")
-    t = F.col("__t")
+    t, spans, size = F.col("__t"), F.col(hidden), F.lit(PART)
+    # spans are taken in parts, so that a part's places are counted in its own region and not from the start of a long text
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int")), lambda i: F.slice(spans, i * size + 1, size))
+    ends = F.transform(parts, lambda p: F.array_max(F.transform(p, lambda x: x["end"])))
+    begins = F.aggregate(ends, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
 
-    def step(st: Column, x: Column) -> Column:
-        more = F.when(x["start"] >= st["at"], F.concat(F.substring(t, st["at"] + 1, x["start"] - st["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.concat(st["out"], more).alias("out"), F.greatest(st["at"], x["end"]).alias("at"))
+    def cleaned(p: Column, i: Column) -> Column:
+        base = F.get(begins, i)
+        region = F.substring(t, base + 1, F.get(begins, i + 1) - base)
 
-    clean = F.aggregate(hidden, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda st: F.concat(st["out"], F.substring(t, st["at"] + 1, F.char_length(t))))
+        def step(st: Column, x: Column) -> Column:
+            more = F.when(x["start"] >= st["at"], F.concat(F.substring(region, st["at"] - base + 1, x["start"] - st["at"]), F.lit(mark))).otherwise(F.lit(""))
+            return F.struct(F.concat(st["out"], more).alias("out"), F.greatest(st["at"], x["end"]).alias("at"))
+
+        return F.aggregate(p, F.struct(F.lit("").alias("out"), base.alias("at")), step, lambda st: st["out"])
+
+    clean = F.concat(F.array_join(F.transform(parts, cleaned), ""), F.substring(t, F.element_at(begins, -1) + 1, F.char_length(t)))
     found = found.withColumnRenamed("secrets", hidden).withColumn("__clean", F.when(F.size(hidden) > 0, clean))
     cols = []
     for f in docs.schema.fields:
