@@ -199,3 +199,35 @@ def test_mixed_predictions(spark):
     df = spark.createDataFrame([({"prediction": 0.0, "probability_0": 0.6, "probability_1": 0.4}, {"prediction": 1.0, "probability_0": 0.1, "probability_1": 0.9})], "a map<string,double>, b map<string,double>")
     assert models.combine(df, "a", "b").first()["prediction"]["prediction"] == 1.0
     assert models.combine(df, "a", "b", (1, 0)).first()["prediction"]["prediction"] == 0.0
+
+
+def test_local_learners_score_as_spark_does(spark):
+    from featherloom.plans.local import scorer_of
+
+    rows = [([float(i % 7), float((i * 5) % 11), float(i % 3)], float((i % 7) + (i * 5) % 11 > 8), float(i % 3), 1.0 + (i % 7) * 2 + i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "v array<double>, two double, three double, line double")
+    made = {n: ({}, "two") for n in ("LogisticRegression", "DecisionTreeClassifier", "RandomForestClassifier", "GBTClassifier", "LinearSVC", "NaiveBayes")}
+    made |= {n: ({}, "line") for n in ("LinearRegression", "DecisionTreeRegressor", "RandomForestRegressor", "GBTRegressor", "GeneralizedLinearRegression")}
+    cases = [(n, *c) for n, c in made.items()] + [("LogisticRegression", {}, "three"), ("NaiveBayes", {"modelType": "gaussian"}, "three"), ("RandomForestClassifier", {"numTrees": 3}, "three"), ("GeneralizedLinearRegression", {"family": "poisson"}, "line")]
+    for name, params, label in cases:
+        model = models.estimator(name, params).fit(models.ready(df, "v", label))
+        local = scorer_of(model)
+        for r in models.predict(model, df, "v").collect():
+            got = local(r["v"])
+            assert got.keys() == r["prediction"].keys(), name
+            assert all(math.isclose(got[k], r["prediction"][k], rel_tol=1e-7, abs_tol=1e-9) for k in got), (name, params, got, r["prediction"])
+
+
+def test_local_encoders_encode_as_spark_does(spark):
+    from featherloom.plans.local import _encoder
+
+    rows = [(float(i), ["a b", "The c", None, "d-e é"][i % 4], ["x", "y"][: i % 3] if i % 5 else None, 86_400_000 * i if i % 4 else None, [1.0 * i, 2.0, 3.0] if i % 3 else None, {"k": 1.0 * i, "l": None}, {"p": "u v"} if i % 2 else {"q": "w"}, float(i > 20)) for i in range(40)]
+    df = spark.createDataFrame(rows, "n double, t string, s array<string>, d long, g array<double>, m map<string,double>, p map<string,string>, y double")
+    encoders = [
+        V.fit(df, "numeric", ["n"], "Real"), V.fit(df, "pivot", ["t"], "PickList", min_support=1), V.fit(df, "pivot", ["s"], "MultiPickList", min_support=1, top_k=1), V.fit(df, "hash", ["t"], "Text", hashes=16),
+        V.fit(df, "hash", ["s"], "TextList", hashes=8), V.fit(df, "smart_text", ["t"], "Text", max_cardinality=1, coverage=1.1, hashes=8), V.fit(df, "days", ["d"], "Date", reference_ms=10_000_000_000), V.fit(df, "location", ["g"], "Geolocation"),
+        V.fit(df, "map_values", ["m"], "RealMap", fill="mean"), V.fit(df, "map_pivot", ["p"], "PickListMap", min_support=1), V.fit(df, "tree", ["n"], "Real", label="y"),
+    ]
+    for e in encoders:
+        for r in V.encode(df, [e]).collect():
+            assert _encoder(e.to_json(), r.asDict()) == pytest.approx(list(r["features"])), (e.kind, r)
