@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -186,6 +189,78 @@ ENTITY_PATTERNS = {
 }
 
 
+# Endings of Porter's stemmer (1980) and what becomes of them, by step.
+_PORTER_2 = dict(x.split(":") for x in (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al "
+    "iviti:ive biliti:ble logi:log"
+).split())
+_PORTER_3 = dict(x.split(":") for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+_PORTER_4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent sion tion ou ism ate iti ous ive ize".split(), "")
+
+
+def _letters(w: str) -> str:
+    """v for vowels and c for consonants; y is a vowel behind a consonant."""
+    out = ""
+    for i, x in enumerate(w):
+        out += "v" if x in "aeiou" or x == "y" and i and out[-1] == "c" else "c"
+    return out
+
+
+def _measure(w: str) -> int:
+    """Vowels that consonants follow, runs counting once."""
+    return len(re.findall("v+c+", _letters(w)))
+
+
+def _short(w: str) -> bool:
+    return _letters(w).endswith("cvc") and w[-1] not in "wxy"
+
+
+def _replaced(w: str, endings: dict[str, str], least: int) -> str:
+    """The longest of the endings that w has, replaced if what stands before it measures at least `least`."""
+    end = max((e for e in endings if w.endswith(e)), key=len, default="")
+    if end in ("sion", "tion") and endings is _PORTER_4:
+        return w[:-3] if _measure(w[:-3]) >= least else w
+    return w[: -len(end)] + endings[end] if end and _measure(w[: -len(end)]) >= least else w
+
+
+@lru_cache(1 << 16)
+def stem_english(w: str) -> str:
+    """The stem of a word in lower case, by Porter's five steps."""
+    if len(w) < 3:
+        return w
+    if w.endswith("s") and not w.endswith("ss"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    elif w.endswith(("ed", "ing")):
+        base = w[:-2] if w.endswith("ed") else w[:-3]
+        if "v" in _letters(base):
+            w = base
+            if w.endswith(("at", "bl", "iz")):
+                w += "e"
+            elif w[-2:-1] == w[-1:] and _letters(w).endswith("c") and w[-1] not in "lsz":
+                w = w[:-1]
+            elif _measure(w) == 1 and _short(w):
+                w += "e"
+    if w.endswith("y") and "v" in _letters(w[:-1]):
+        w = w[:-1] + "i"
+    w = _replaced(_replaced(_replaced(w, _PORTER_2, 1), _PORTER_3, 1), _PORTER_4, 2)
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+
+
+def stem(tokens: Column) -> Column:
+    """English stems of tokens in lower case; words with other letters than a to z stay as they are."""
+
+    @F.pandas_udf("array<string>")
+    def stems(lists: pd.Series) -> pd.Series:
+        plain = re.compile("[a-z]+")
+        return lists.map(lambda x: None if x is None else [stem_english(t) if t and plain.fullmatch(t) else t for t in x])
+
+    return stems(tokens)
+
+
 def stop_words_of(language: str) -> tuple[str, ...]:
     """Spark's stop words of a language, by code; needs a session."""
     from pyspark.ml.feature import StopWordsRemover
@@ -193,9 +268,12 @@ def stop_words_of(language: str) -> tuple[str, ...]:
     return tuple(w for w in StopWordsRemover.loadDefaultStopWords(LANGUAGES[language]) if w)
 
 
-def tokenize_language(c: Column, language: str, min_length: int = 1) -> Column:
-    """Tokens without the stop words of a language."""
-    return tokenize(c, min_length, stop_words=stop_words_of(language))
+def tokenize_language(c: Column, language: str, min_length: int = 1, stems: bool = False) -> Column:
+    """Tokens without the stop words of a language; stems: for English, the stems of the tokens."""
+    tokens = tokenize(c, min_length, stop_words=stop_words_of(language))
+    if stems and language != "en":
+        raise ValueError(f"no stemmer for {language}")
+    return stem(tokens) if stems else tokens
 
 
 def detect_languages(c: Column, languages: tuple[str, ...] = tuple(LANGUAGES)) -> Column:

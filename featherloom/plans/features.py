@@ -145,6 +145,7 @@ for _name, (_, _, _vector) in ML_STAGES.items():
 _plain("detect_languages", "RealMap", text.detect_languages)
 _plain("recognize_entities", "MultiPickListMap", text.recognize_entities)
 _plain("tokenize_language", "TextList", text.tokenize_language)
+_plain("stem", "TextList", text.stem)
 
 #: Functions of one's own by name, for the `map` operator.
 FUNCTIONS: dict[str, Callable[..., Column]] = {}

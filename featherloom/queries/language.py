@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def human_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", F.element_at(stats, F.lit("FirstName")).alias("first_name"), F.element_at(stats, F.lit("Gender")).alias("gender"))
 
 
+#: Words and their stems by Porter's paper.
+_STEMS = "caresses:caress ponies:poni cats:cat agreed:agre plastered:plaster motoring:motor conflated:conflat hopping:hop filing:file happy:happi relational:relat conditional:condit vietnamization:vietnam triplicate:triplic hopefulness:hope revival:reviv adjustment:adjust adoption:adopt effective:effect probate:probat rate:rate controlling:control sky:sky".split()
+
+
+@query("""select p_partkey, [""" + ", ".join(f"'{x.split(':')[1]}'" for x in _STEMS) + f"""][p_partkey % {len(_STEMS)} + 1] stem from part""")
+def stem_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.get(F.array(*[F.lit(x.split(":")[0]) for x in _STEMS]), (F.col("p_partkey") % len(_STEMS)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(text.stem(F.array(word)), F.lit(0)).alias("stem"))
+
+
 _TYPES = "select p_partkey, string_split(p_name, ' ') w from part"
 
 
@@ -64,15 +75,21 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("weight"))
 
 
-@query()
+@query("""select cast(p_partkey as varchar) as key, 4 as dimensions, true as means from part""")
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean word vectors of each part's name."""
     df, words = _words(spark, sf_dir)
-    out = G.Workflow([words.apply("word2vec", name="v", vectorSize=4, minCount=1, seed=1, maxIter=1)]).train(df).transform(df)
-    return out.select("key", F.size("v").alias("dimensions"))
+    model = G.Workflow([words.apply("word2vec", name="v", vectorSize=4, minCount=1, seed=1, maxIter=1)]).train(df)
+    out = model.transform(df)
+    # a row's vector is the mean of its words' own
+    own = model.stages[0][0].model.getVectors().select("word", vector_to_array("vector").alias("w"))
+    each = out.select("key", F.posexplode("words").alias("i", "word")).join(own, "word").select("key", F.posexplode("w").alias("d", "x"))
+    mean = each.groupBy("key", "d").agg(F.avg("x").alias("x")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("mean"))
+    off = F.array_max(F.zip_with("v", "mean", lambda a, b: F.abs(a - b)))
+    return out.join(mean, "key").select("key", F.size("v").alias("dimensions"), (off < 1e-4).alias("means"))
 
 
-@query()
+@query("""select cast(p_partkey as varchar) as key, 1.0::double as total from part""")
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic distributions: they add up to one."""
     df, words = _words(spark, sf_dir)

@@ -165,6 +165,17 @@ def net_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", net.parse_phone(p).alias("parsed"), net.is_valid_phone(p).alias("valid"))
 
 
+@query("""with t as (select c_custkey, ['DE', 'Germny', 'united kingdom', null, 'fr'][c_custkey % 5 + 1] r, '30' || cast(1234567 + c_custkey % 8000000 as varchar) p from customer),
+  c as (select *, case c_custkey % 5 when 0 then 'DE' when 1 then 'DE' when 2 then 'GB' when 3 then 'US' else 'FR' end k, case c_custkey % 5 when 0 then '49' when 1 then '49' when 2 then '44' when 3 then '1' else '33' end n from t)
+  select c_custkey, k as region, case when n <> '1' then '+' || n || p end parsed from c""")
+def net_phone_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the region that a column names, by its code or about by its name; nine digits are no North American number."""
+    k = F.col("c_custkey")
+    r = F.get(F.array(*[F.lit(x).cast("string") for x in ("DE", "Germny", "united kingdom", None, "fr")]), (k % 5).cast("int"))
+    p = F.concat(F.lit("30"), (F.lit(1234567) + k % 8000000).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", net.region_of(r).alias("region"), net.parse_phone(p, r).alias("parsed"))
+
+
 @query("""select p_partkey, case when p_partkey % 5 = 0 then 'application/pdf' when p_partkey % 5 = 1 then 'image/png' when p_partkey % 5 = 2 then 'text/plain' when p_partkey % 5 = 3 then null
   else 'application/octet-stream' end mime, case when p_partkey % 5 = 2 then p_name end plain from part""")
 def net_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
