@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-FAMILIES = ("scalars", "aggregations", "readers", "encoders", "quality", "evaluation", "modelling", "language")
+FAMILIES = ("scalars", "aggregations", "readers", "encoders", "quality", "evaluation", "modelling", "language", "workflows")
 
 for _family in FAMILIES:
     import_module(f"{__name__}.{_family}")

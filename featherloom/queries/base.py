@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,3 +37,13 @@ def r6(c: Column) -> Column:
 
 def event_ms(c: str = "ts") -> Column:
     return F.unix_millis(F.col(c).cast("timestamp"))
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path below the folder that all machines share (spark.checkpoint.dir), or in local mode a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        shared = tempfile.mkdtemp(prefix="featherloom-")
+    return f"{shared}/{what}-{uuid.uuid4().hex}"

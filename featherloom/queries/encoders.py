@@ -45,12 +45,14 @@ def percentile_calibrator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", F.when(F.col("b").isNotNull(), scalers.percentile(F.col("b"), edges, 4)).alias("bucket"))
 
 
-@query()
+@query("""with d as (select doc_id, least(floor(n_chars / 400), 40) s, quality::double y from labels join documents using (doc_id)), g as (select s, sum(y) y, count(*)::double n from d where s is not null and y is not null group by 1),
+  m as (select a.s a, b.s b, sum(g.y) / sum(g.n) mean from g a, g b, g where a.s <= g.s and g.s <= b.s group by 1, 2), l as (select g.s, m.a, min(mean) low from g join m on m.a <= g.s and g.s <= m.b group by 1, 2), v as (select s, max(low) v from l group by 1)
+  select doc_id, round(v, 6) calibrated from d left join v on v.s = d.s""")
 def isotonic_calibrator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibrated scores never fall as scores rise."""
-    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_chars", "quality")
-    fitted = scalers.fit_isotonic(df, F.col("n_chars"), F.col("quality"))
-    return df.select("doc_id", r6(scalers.calibrate(F.col("n_chars").cast("double"), fitted)).alias("calibrated"))
+    """Calibrated scores never fall as scores rise: the greatest over all starts of the least mean from there on."""
+    df = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.least(F.floor(F.col("n_chars") / 400), F.lit(40)).cast("double").alias("s"), "quality")
+    fitted = scalers.fit_isotonic(df, F.col("s"), F.col("quality"))
+    return df.select("doc_id", r6(scalers.calibrate(F.col("s"), fitted)).alias("calibrated"))
 
 
 _RANKED = "with t as (select p_partkey, case when p_partkey % 6 <> 0 then p_type end v from part), r as (select coalesce(v, 'null') v, row_number() over (order by count(*) desc, coalesce(v, 'null')) - 1 i from t group by 1)"
@@ -113,7 +115,7 @@ def vectorize_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", total.alias("tokens"), F.get("features", F.lit(64)).alias("is_null"), F.size("features").alias("slots"))
 
 
-_USERS = "select user_id, event_type k, sum(value) v, mode(cast(floor(value) as bigint) % 3 order by cast(floor(value) as bigint) % 3) o from events where user_id % 4 <> 0 or event_type <> 'error' group by all"
+_USERS = "select user_id, case when user_id % 4 = 0 and event_type = 'error' then 'view' else event_type end k, sum(value) v, mode(cast(floor(value) as bigint) % 3 order by cast(floor(value) as bigint) % 3) o from events group by all"
 
 
 @query(f"""with e as ({_USERS}), u as (select count(distinct user_id) n from e), a as (select k, count(*) c, sum(v) s, avg(v) m from e group by k)
@@ -123,7 +125,9 @@ _USERS = "select user_id, event_type k, sum(value) v, mode(cast(floor(value) as
 def vectorize_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of each learned key of a number map, and a pivot of each key of a text map."""
     third = F.floor("value").cast("long") % 3
-    rows = table(spark, sf_dir, "events").where("user_id % 4 <> 0 or event_type <> 'error'").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"), F.mode(third, True).cast("string").alias("o"))
+    kind = F.col("event_type")  # the errors of some users are views, so that these users lack a key
+    events = table(spark, sf_dir, "events").withColumn("event_type", F.when((F.col("user_id") % 4 == 0) & (kind == "error"), "view").otherwise(kind))
+    rows = events.groupBy("user_id", "event_type").agg(F.sum("value").alias("v"), F.mode(third, True).cast("string").alias("o"))
     df = rows.groupBy("user_id").agg(*[F.map_from_entries(F.collect_list(F.struct("event_type", v))).alias(m) for m, v in (("m", "v"), ("o", "o"))])
     return _slot_sums(df, [V.fit(df, "map_values", ["m"], "RealMap", fill="mean"), V.fit(df, "map_pivot", ["o"], "PickListMap", min_support=1)])
 

@@ -76,22 +76,26 @@ def misclassified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluators.misclassified(_multi(spark, sf_dir), most=2)
 
 
-_PROBS = "select label, list_transform(embedding[1:4], lambda x: abs(x) / (abs(embedding[1]) + abs(embedding[2]) + abs(embedding[3]) + abs(embedding[4])))::double[] p from embeddings where label < 6"
+_PROBS = """select label::int label, list_transform(embedding[1:4], lambda x: abs(x)::double / (abs(embedding[1])::double + abs(embedding[2])::double + abs(embedding[3])::double + abs(embedding[4])::double)) p from embeddings"""
 
 
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scores a row; most labels are none of the four classes."""
     first = F.slice("embedding", 1, 4)
     total = F.aggregate(first, F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
-    return table(spark, sf_dir, "embeddings").where("label < 6").select(F.col("label").cast("int").alias("label"), F.transform(first, lambda x: F.abs(x).cast("double") / total).alias("probability"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), F.transform(first, lambda x: F.abs(x).cast("double") / total).alias("probability"))
 
 
-@query()
+@query(f"""with t as ({_PROBS}), r as (select label, list_max(p) best, coalesce(p[label + 1], 0) mine, case when label < 4 then 1 + len(list_filter([1, 2, 3, 4], lambda i: p[i] > p[label + 1] or (p[i] = p[label + 1] and i <= label))) else 99 end place from t),
+  o as (select n.n top_n, h.h threshold, place <= n.n and mine >= h.h ok, best >= h.h reached from r, (select unnest([1, 3]) n) n, (select unnest([0.0, 0.25, 0.5, 0.75]) h) h)
+  select top_n, cast(threshold as double) threshold, count(*) filter (where ok) correct, count(*) filter (where not ok and reached) incorrect, count(*) filter (where not ok and not reached) no_prediction from o group by 1, 2""")
 def thresholds_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluators.thresholds_multi(_probabilities(spark, sf_dir), top_ns=(1, 3), thresholds=[0.0, 0.25, 0.5, 0.75])
     return spark.createDataFrame([list(r.values()) for r in rows], "top_n int, threshold double, correct long, incorrect long, no_prediction long")
 
 
-@query()
+@query(f"""with t as ({_PROBS}), c as (select label from t group by 1 order by count(*) desc, label limit 3), r as (select label, list_position(p, list_max(p)) - 1 prediction, list_max(p) best from t)
+  select h.h::double threshold, label::double label, prediction::double prediction, count(*) n from r, (select unnest([0.0, 0.2, 0.4, 0.6, 0.8]) h) h where best >= h.h and label in (select label from c) and prediction in (select label from c) group by all""")
 def confusion_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _probabilities(spark, sf_dir)
     return evaluators.confusion_by_threshold(df.withColumn("prediction", F.array_position("probability", F.array_max("probability")) - 1), classes=3)

@@ -3,15 +3,13 @@ other ways to the same figures."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import features as G
 from ..plans import insights, models
 from ..streaming import scoring
-from .base import event_ms, query, r6, table
+from .base import event_ms, query, r6, shared_folder, table
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,19 +58,22 @@ def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("key", "line", r6(F.col("unit")).alias("unit"), r6(F.col("magnitude")).alias("magnitude"), "rounded", "weekday", "returned", r6(F.col("quantity")).alias("quantity"))
 
 
-@query()
+@query("""select cast(o_orderkey as varchar) as key, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1.0 else 0.0 end::double prediction, true as sure from orders""")
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models and grids compared by folds, the best one refitted, and all rows scored."""
+    """Models and grids compared by folds, the best one refitted, and all rows scored: what two categories decide is found."""
     label, _, checked = _graph()
-    df = _orders(spark, sf_dir)
+    df = _orders(spark, sf_dir).withColumn("label", F.col("priority").isin("1-URGENT", "2-HIGH").cast("double"))
     model = G.Workflow([G.select_model(label, checked, _selector())]).train(df)
     p = F.col("prediction")
-    return model.score(df).select("key", F.element_at(p, F.lit("prediction")).alias("prediction"), r6(F.element_at(p, F.lit("probability_1"))).alias("probability"))
+    of = lambda n: F.element_at(p, F.lit(n))
+    return model.score(df).select("key", of("prediction").alias("prediction"), (F.greatest(of("probability_0"), of("probability_1")) > 0.6).alias("sure"))
 
 
 def _linear(spark: SparkSession, sf_dir: str):
+    # lines of an order may have one number: they are told apart by their order, which a task that runs again finds again
+    twin = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_quantity", "l_discount"))
     df = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", F.monotonically_increasing_id().cast("string"), "l_orderkey").alias("key"), "l_quantity", "l_discount", (F.col("l_quantity") * 2 - F.col("l_discount") * 100 + 5).alias("y")
+        F.concat_ws("-", "l_orderkey", "l_linenumber", twin).alias("key"), "l_quantity", "l_discount", (F.col("l_quantity") * 2 - F.col("l_discount") * 100 + 5).alias("y")
     )
     from ..operators import vectorizers as V
 
@@ -80,11 +81,21 @@ def _linear(spark: SparkSession, sf_dir: str):
     return vectors, models.estimator("LinearRegression", {"regParam": 0.0}).fit(models.ready(vectors, "features", "y"))
 
 
-@query("""select round(max(abs(l_quantity * 2 - l_discount * 100 + 5 - (l_quantity * 2 - l_discount * 100 + 5))), 3) worst, count(*) n from lineitem""")
+@query("""with t as (select l_quantity::double q, l_discount::double d, l_extendedprice::double y from lineitem),
+  m as (select covar_pop(q, q) qq, covar_pop(d, d) dd, covar_pop(q, d) qd, covar_pop(q, y) qy, covar_pop(d, y) dy, avg(q) q, avg(d) d, avg(y) y from t),
+  b as (select (qy * dd - dy * qd) / (qq * dd - qd * qd) bq, (dy * qq - qy * qd) / (qq * dd - qd * qd) bd, q, d, y from m)
+  select round(any_value(bq), 3) quantity, round(any_value(bd), 2) discount, round(any_value(b.y - bq * b.q - bd * b.d), 2) intercept, round(avg(abs(t.y - (b.y + bq * (t.q - b.q) + bd * (t.d - b.d)))), 2) mean_error, count(*) n from t, b""")
 def linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line is found again."""
-    df, model = _linear(spark, sf_dir)
-    return models.predict(model, df, "features").agg(F.round(F.max(F.abs(F.element_at("prediction", F.lit("prediction")) - F.col("y"))), 3).alias("worst"), F.count("*").alias("n"))
+    """Least squares of a price that quantity and discount explain in part: SQL solves the normal equations."""
+    from ..operators import vectorizers as V
+
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
+    vectors = V.encode(df, [V.fit(df, "numeric", ["l_quantity", "l_discount"], "Real", track_nulls=False)])
+    model = models.estimator("LinearRegression", {"regParam": 0.0}).fit(models.ready(vectors, "features", "y"))
+    q, d = (round(float(c), k) for c, k in zip(model.coefficients, (3, 2), strict=True))
+    off = F.abs(F.element_at("prediction", F.lit("prediction")) - F.col("y"))
+    out = models.predict(model, vectors, "features").agg(F.round(F.avg(off), 2).alias("mean_error"), F.count("*").alias("n"))
+    return out.select(F.lit(q).alias("quantity"), F.lit(d).alias("discount"), F.lit(round(float(model.intercept), 2)).alias("intercept"), "mean_error", "n")
 
 
 @query("""with t as (select l_quantity * 2 q, -l_discount * 100 d from lineitem) select case when abs(q) >= abs(d) or d = 0 then 'l_quantity' else 'l_discount' end slot, count(*) n, round(sum(case when abs(q) >= abs(d) then q else d end), 0) moved from t group by 1""")
@@ -112,10 +123,7 @@ def streaming_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = G.raw("event_type", "PickList").apply("occurs", kind="text", name="occurs")
     events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), "value", "event_type")
     model = G.Workflow([scaled, typed]).train(events)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="featherloom-")
-    import uuid
-
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     source = table(spark, sf_dir, "events")
     source.write.parquet(f"{base}/in")
     stream = scoring.file_stream(spark, f"{base}/in", source.schema).select(F.col("event_id").cast("string").alias("key"), "value", "event_type")

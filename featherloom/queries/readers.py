@@ -71,13 +71,15 @@ def reader_conditional_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _join_sql(how: str, keyed: str) -> str:
-    return f"""with a as (select c_custkey k, c_acctbal v from customer where c_custkey % 3 <> 0), b as (select o_custkey k, round(sum(o_totalprice), 4) s from orders where o_custkey % 2 = 0 group by 1)
+    return f"""with a as (select case when c_custkey % 3 = 0 then -c_custkey else c_custkey end k, c_acctbal v from customer), b as (select o_custkey k, round(sum(o_totalprice), 4) s from orders group by 1)
   select cast({keyed} as varchar) as key, v, s from a {how} join b on a.k = b.k"""
 
 
 def _joined(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    left = readers.frame(table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0"), F.col("c_custkey"), name="customer")
-    right = readers.frame(table(spark, sf_dir, "orders").where("o_custkey % 2 = 0"), F.col("o_custkey"), name="orders").aggregate(event_ms("o_orderdate"), tie=F.col("o_orderkey"))
+    # the keys of some customers are changed, so that both sides have rows that match nothing
+    k = F.col("c_custkey")
+    left = readers.frame(table(spark, sf_dir, "customer"), F.when(k % 3 == 0, -k).otherwise(k), name="customer")
+    right = readers.frame(table(spark, sf_dir, "orders"), F.col("o_custkey"), name="orders").aggregate(event_ms("o_orderdate"), tie=F.col("o_orderkey"))
     out = left.join(right, how).generate(spark, [EventFeature("v", F.col("c_acctbal"))], [EventFeature("s", F.col("o_totalprice"))])
     return out.select("key", "v", F.round("s", 4).alias("s"))
 
@@ -97,17 +99,19 @@ def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(spark, sf_dir, "inner")
 
 
-@query("""select o.o_orderkey as order_key, o.o_orderpriority priority, c.c_mktsegment segment from orders o left join customer c on c.c_custkey = o.o_custkey and c.c_custkey % 5 <> 0""")
+@query("""select o.o_orderkey as order_key, o.o_orderpriority priority, c.c_mktsegment segment from orders o left join customer c on case when c.c_custkey % 5 = 0 then -c.c_custkey else c.c_custkey end = o.o_custkey""")
 def join_child_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_orderpriority").alias("priority"), "o_custkey")
-    parent = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    k = F.col("c_custkey")
+    parent = table(spark, sf_dir, "customer").select(F.when(k % 5 == 0, -k).otherwise(k).alias("key"), F.col("c_mktsegment").alias("segment"))
     return join_keyed(child, parent, "left_outer", left_key="o_custkey", result="child_parent").select("order_key", "priority", "segment")
 
 
-@query("""select n.n_name as name, count(s.s_suppkey) n, round(sum(s.s_acctbal), 4) balance from nation n left join supplier s on s.s_nationkey = n.n_nationkey and s.s_suppkey % 4 = 1 group by 1""")
+@query("""select n.n_name as name, count(s.s_suppkey) n, round(sum(s.s_acctbal), 4) balance from nation n left join supplier s on case when s.s_nationkey % 4 = 1 then -1 else s.s_nationkey end = n.n_nationkey group by 1""")
 def join_parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    child = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 1")
+    nation = F.col("s_nationkey")
+    child = table(spark, sf_dir, "supplier").withColumn("s_nationkey", F.when(nation % 4 == 1, -1).otherwise(nation))
     both = join_keyed(parent, child, "left_outer", right_key="s_nationkey", result="parent_child")
     return both.groupBy("name").agg(F.count("s_suppkey").alias("n"), F.round(F.sum("s_acctbal"), 4).alias("balance"))
 
@@ -135,11 +139,12 @@ def join_window_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("o_orderpriority").alias("key"), F.explode("m").alias("flag", "qty"))
 
 
-@query("""with a as (select c_nationkey k, list(c_custkey order by c_custkey) l from customer where c_custkey % 9 = 0 group by 1), b as (select s_nationkey k, list(s_suppkey order by s_suppkey) r from supplier where s_suppkey % 2 = 0 group by 1)
+@query("""with a as (select c_nationkey k, list(c_custkey order by c_custkey) l from customer group by 1), b as (select case when s_nationkey % 3 = 0 then s_nationkey + 100 else s_nationkey end k, list(s_suppkey order by s_suppkey) r from supplier group by 1)
   select coalesce(a.k, b.k) as nation, array_to_string(coalesce(l, []), ',') left_values, array_to_string(coalesce(r, []), ',') right_values from a full join b on a.k = b.k""")
 def join_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("l"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("r"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("l"))
+    nation = F.col("s_nationkey")
+    b = table(spark, sf_dir, "supplier").select(F.when(nation % 3 == 0, nation + 100).otherwise(nation).alias("nation"), F.col("s_suppkey").alias("r"))
     out = cogroup_lists(a, b, "nation", "l", "r")
     return out.select("nation", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("left_values", "right_values")])
 
