@@ -168,26 +168,28 @@ class Validation:
 
 
 def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str, list[dict]]], metric: str, how: Validation = Validation()) -> list[Trial]:
-    """The trials that finished all folds, best first. Fits run side by side; one that fails is logged and left out, and if
-    none is left that is an error."""
+    """The trials that finished all folds, best first. Fits run side by side; one that fails there is tried once more alone, since
+    plans that several threads share can fail for each other's sake. One that fails again is logged and left out, and if none
+    is left that is an error."""
     trials = [Trial(name, params) for name, grids in candidates for params in grids]
     parts = how.parts(df, key)
-    failures: list[Exception] = []
 
-    def run(job: tuple[Trial, int]) -> tuple[Trial, float | None]:
+    def run(job: tuple[Trial, int]) -> tuple[tuple[Trial, int], float | None, Exception | None]:
         trial, i = job
         try:
             model = estimator(trial.model, trial.params).fit(parts[i][0])
-            return trial, measure(metric, model, parts[i][1], vector)
+            return job, measure(metric, model, parts[i][1], vector), None
         except Exception as e:  # noqa: BLE001 - a grid point that cannot be fitted is left out
             log.warning("%s %s failed", trial.model, trial.params, exc_info=True)
-            failures.append(e)
-            return trial, None
+            return job, None, e
 
     with ThreadPoolExecutor(how.parallelism) as pool:
-        for trial, score in pool.map(run, [(t, i) for t in trials for i in range(len(parts))]):
-            if score is not None and not math.isnan(score):
-                trial.scores.append(score)
+        found = list(pool.map(run, [(t, i) for t in trials for i in range(len(parts))]))
+    found = [run(job) if error is not None else (job, score, error) for job, score, error in found]
+    failures = [error for _, _, error in found if error is not None]
+    for (trial, _), score, _ in found:
+        if score is not None and not math.isnan(score):
+            trial.scores.append(score)
     done = [t for t in trials if len(t.scores) == len(parts)]
     if not done:
         raise RuntimeError(f"no candidate could be fitted; {len(failures)} fits failed, the first by: {str(failures[0])[:500] if failures else 'no score'}") from (failures or [None])[0]

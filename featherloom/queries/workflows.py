@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.events import CutOff, EventFeature
 from ..plans import features as G
 from ..plans import models
 from ..plans.local import LocalScorer
 from ..plans.runner import Runner, RunParams
 from ..sources import readers
-from .base import query, r6, shared_folder, table
+from ..sources.avro import load_avro, save_avro, stream_avro
+from .base import event_ms, query, r6, shared_folder, table
 
 
 def _balances(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[G.Feature]]:
@@ -194,6 +196,35 @@ def csv_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.load_with_schema(spark, f"{base}/typed")
 
 
+@query("""select c_custkey, c_name, c_acctbal, c_mktsegment from customer""")
+def avro_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as Avro files and read again."""
+    path = shared_folder(spark, "avro")
+    save_avro(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return load_avro(spark, path)
+
+
+@query("""select cast(user_id as varchar) as key, round(sum(value) filter (where (epoch_us(ts) // 1000) < 1705363200000), 6) before_sum, count(*) filter (where (epoch_us(ts) // 1000) >= 1705363200000) as after_n from events group by user_id""")
+def avro_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in Avro files, aggregated around a cut-off."""
+    path = shared_folder(spark, "avro")
+    save_avro(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), path)
+    reader = readers.avro(path, F.col("user_id")).aggregate(event_ms(), CutOff.unix_epoch(1_705_363_200_000), F.col("event_id"))
+    out = reader.generate(spark, [EventFeature("before_sum", F.col("value"), "Real"), EventFeature("after_n", F.lit(1), "Integral", lambda x, t, i: F.count(x), response=True)])
+    return out.select("key", r6(F.col("before_sum")).alias("before_sum"), "after_n")
+
+
+@query("""select cast(event_id as varchar) as key, round(value, 6) as v from events""")
+def avro_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Avro files that are read as a stream."""
+    base = shared_folder(spark, "avro")
+    source = table(spark, sf_dir, "events").select("event_id", "value")
+    save_avro(source, f"{base}/in")
+    stream = stream_avro(spark, f"{base}/in", source.schema).select(F.col("event_id").cast("string").alias("key"), r6(F.col("value")).alias("v"))
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query(f"""with t as (select item_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda x: x not in ({", ".join(f"'{w}'" for w in text.STOP_WORDS)})) k from benchmark) select item_id, cast(len(k) as bigint) as n, 1.0::double as alike from t""")
 def similar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text is like itself by n-grams."""

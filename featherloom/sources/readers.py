@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators.events import Conditional, CutOff, EventFeature, aggregate_events, conditional_events
 from ..operators.joins import join_keyed
+from .avro import load_avro
 
 Load = Callable[[SparkSession], DataFrame]
 
@@ -95,9 +96,8 @@ def parquet(path: str, key: Column, **more) -> Reader:
     return Reader(lambda s: s.read.parquet(path), key, **more)
 
 
-def avro(path: str, key: Column, **more) -> Reader:
-    """Needs Spark's avro package on the class path."""
-    return Reader(lambda s: s.read.format("avro").load(path), key, **more)
+def avro(path: str, key: Column, schema: T.StructType | None = None, **more) -> Reader:
+    return Reader(lambda s: load_avro(s, path, schema), key, **more)
 
 
 def frame(df: DataFrame, key: Column, **more) -> Reader:
