@@ -601,10 +601,26 @@ def drop_slots(df: DataFrame, drop: Callable[[dict], bool], name: str = "feature
     return keep_slots(df, [i for i, s in enumerate(slots) if not drop(s)], name)
 
 
+#: Slots up to which kept ones are picked one by one.
+_PICKED = 200
+
+
 def keep_slots(df: DataFrame, keep: list[int], name: str = "features", out: str | None = None) -> DataFrame:
+    """The slots of a vector at the places `keep`, in ascending order.
+
+    The vector is never named inside a lambda function: the optimizer would put the expression that makes it there, and it would be
+    evaluated again for every slot.
+    """
+    if any(a >= b for a, b in zip(keep, keep[1:], strict=False)):
+        raise ValueError("slots are kept in ascending order")
     slots = df.schema[name].metadata["slots"]
-    at = F.array(*[F.lit(i) for i in keep]).cast("array<int>")
-    kept = F.transform(at, lambda i: F.get(F.col(name), i))
+    v = F.col(name)
+    if len(keep) == len(slots):
+        kept = v
+    elif len(keep) <= _PICKED:
+        kept = F.array(*[F.get(v, F.lit(i)) for i in keep]).cast("array<double>")
+    else:
+        kept = F.filter(v, lambda x, i: i.isin(keep))
     return df.withColumn(out or name, kept).withMetadata(out or name, {"slots": [slots[i] for i in keep]})
 
 
