@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 DAY_MS = 86_400_000
 #: period: (least, greatest value)
 PERIODS = {"DayOfMonth": (1, 31), "DayOfWeek": (1, 7), "DayOfYear": (1, 366), "HourOfDay": (0, 24), "MonthOfYear": (1, 12), "WeekOfMonth": (1, 6), "WeekOfYear": (1, 53)}
@@ -66,9 +68,12 @@ def parse_any(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm:ss", "yyy
 
 def most_frequent(values: Column) -> Column:
     """Mode of an array, ties to the smallest."""
-    distinct = F.array_sort(F.array_distinct(values))
-    counted = F.transform(distinct, lambda v: F.struct((-F.size(F.filter(values, lambda x: x == v))).alias("n"), v.alias("v")))
-    return F.array_min(counted)["v"]
+
+    def of(own: Column) -> Column:
+        counted = F.transform(F.array_sort(F.array_distinct(own)), lambda v: F.struct((-F.size(F.filter(own, lambda x: x == v))).alias("n"), v.alias("v")))
+        return F.array_min(counted)["v"]
+
+    return let(values, of)
 
 
 def date_list_pivot(c: Column, pivot: str, reference: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 EMAIL = r"^([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+)@([A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*)$"
 URL = r"^(https?|ftp)://[^\s/?#.]+\.[^\s/?#]+([/?#]\S*)?$"
 # Regions by ISO 3166 code, country calling code (ITU-T E.164) and English name. A parameter adds others.
@@ -189,15 +191,16 @@ def region_of(c: Column, default: str = "US") -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
 
     names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n.upper()).alias("n")) for k, (_, n) in sorted(REGIONS.items())])
-    own = pairs(code)
 
-    def near(r: Column) -> Column:
-        theirs = pairs(r["n"])
-        return F.struct((-F.size(F.array_intersect(own, theirs)) / F.size(F.array_union(own, theirs))).alias("d"), r["k"].alias("k"))
+    def nearest(own: Column) -> Column:
+        def near(r: Column) -> Column:
+            theirs = pairs(r["n"])
+            return F.struct((-F.size(F.array_intersect(own, theirs)) / F.size(F.array_union(own, theirs))).alias("d"), r["k"].alias("k"))
+
+        best = F.array_min(F.transform(names, near))
+        return F.when(best["d"] < 0, best["k"]).otherwise(F.lit(default))
 
-    best = F.array_min(F.transform(names, near))
-    named = F.when(best["d"] < 0, best["k"]).otherwise(F.lit(default))
-    return F.when(code.isNull(), F.lit(default)).when(code.isin(*REGIONS), code).otherwise(named)
+    return F.when(code.isNull(), F.lit(default)).when(code.isin(*REGIONS), code).otherwise(let(pairs(code), nearest))
 
 
 def _calling_code(region: str | Column) -> Column:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 STOP_WORDS = tuple(
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 )
@@ -144,9 +146,11 @@ def set_ngram_similarity(a: Column, b: Column, n: int = 3) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    grams = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, grams)
+    def of(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, grams)
+
+    return let(tokens, of)
 
 
 def remove_stop_words(tokens: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -279,11 +283,17 @@ def tokenize_language(c: Column, language: str, min_length: int = 1, stems: bool
 def detect_languages(c: Column, languages: tuple[str, ...] = tuple(LANGUAGES)) -> Column:
     """Language to confidence: how the words that are stop words of some language are shared out among the languages. Null if
     there are none. Everything stays in the JVM; other detectors can be plugged in by `map`."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}']+"), F.lit(0))
-    hits = F.array(*[F.struct(F.lit(k).alias("key"), F.size(F.filter(words, _within(stop_words_of(k)))).cast("double").alias("n")) for k in languages])
-    total = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["n"])
-    some = F.filter(hits, lambda x: x["n"] > 0)
-    return F.when(F.size(some) > 0, F.map_from_entries(F.transform(some, lambda x: F.struct(x["key"], (x["n"] / total).alias("value")))))
+    lists = {k: stop_words_of(k) for k in languages}
+
+    def shares(words: Column) -> Column:
+        hits = F.array(*[F.struct(F.lit(k).alias("key"), F.size(F.filter(words, _within(own))).cast("double").alias("n")) for k, own in lists.items()])
+        return let(F.filter(hits, lambda x: x["n"] > 0), shared)
+
+    def shared(some: Column) -> Column:
+        total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x["n"])
+        return F.when(F.size(some) > 0, let(total, lambda t: F.map_from_entries(F.transform(some, lambda x: F.struct(x["key"], (x["n"] / t).alias("value"))))))
+
+    return let(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}']+"), F.lit(0)), shares)
 
 
 def _within(words: tuple[str, ...]):
@@ -298,10 +308,13 @@ def recognize_entities(c: Column, dictionary: dict[str, str] | None = None) -> C
         by_tag.setdefault(tag, []).append(word.lower())
     words = F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
     found += [F.transform(F.filter(words, _known(own)), _tagged(tag)) for tag, own in by_tag.items()]
-    pairs = F.array_distinct(F.flatten(F.array(*found)))
-    tokens = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-    tags = lambda t: F.array_sort(F.transform(F.filter(pairs, lambda p: p["k"] == t), lambda p: p["v"]))
-    return F.when(F.size(tokens) > 0, F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, tags(t)))))
+
+    def tagged(pairs: Column) -> Column:
+        tokens = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
+        tags = lambda t: F.array_sort(F.transform(F.filter(pairs, lambda p: p["k"] == t), lambda p: p["v"]))
+        return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(tokens, lambda t: F.struct(t, tags(t)))))
+
+    return let(F.array_distinct(F.flatten(F.array(*found))), tagged)
 
 
 def _tagged(tag: str):
