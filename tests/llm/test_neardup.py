@@ -87,3 +87,20 @@ def test_small_tables_stand_in_few_parts(spark, table):
     assert seen["n"] == 1000 and df.rdd.getNumPartitions() == 16
     assert gathered(df, 1000).rdd.getNumPartitions() == 1 and gathered(df, 3 * PART_ROWS).rdd.getNumPartitions() == 3
     assert gathered(df, 10**9).rdd.getNumPartitions() == 16
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_a_group_around_a_text_that_is_not_there(spark, table, seed):
+    """Copies of one text with two or three words changed: most are just not similar enough to each other, some are, and none is
+    like all. Besides, two that share a changed word."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for i in rng.sample(range(150), rng.choice([2, 2, 3, 3])):
+            w[i] = f"own{k}x{i}" if rng.random() < 0.8 else f"shared{i}"
+        texts.append(" ".join(w))
+    got = groups(neardup.near_duplicates(table(*texts), percent=80))
+    want = near_groups(dict(enumerate(texts)), 80)
+    assert got == want and 1 < len(set(want.values()))
