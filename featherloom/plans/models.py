@@ -68,6 +68,15 @@ def estimator(name: str, params: dict | None = None):
     return kind(featuresCol=VECTOR, labelCol=LABEL, **(params or {}))
 
 
+def fit(name: str, params: dict | None, df: DataFrame):
+    """A learner fitted to a frame made ready. The model is kept without its training summary: that holds the session, which cannot
+    be sent to tasks once an observation or a stream has been used in it, and the functions that score take the model with them."""
+    model = estimator(name, params).fit(df)
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
+    return model
+
+
 def grid(name: str, options: dict[str, list] | None = None) -> list[dict]:
     out: list[dict] = [{}]
     for k, values in (GRIDS.get(name, {}) if options is None else options).items():
@@ -177,7 +186,7 @@ def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str
     def run(job: tuple[Trial, int]) -> tuple[tuple[Trial, int], float | None, Exception | None]:
         trial, i = job
         try:
-            model = estimator(trial.model, trial.params).fit(parts[i][0])
+            model = fit(trial.model, trial.params, parts[i][0])
             return job, measure(metric, model, parts[i][1], vector), None
         except Exception as e:  # noqa: BLE001 - a grid point that cannot be fitted is left out
             log.warning("%s %s failed", trial.model, trial.params, exc_info=True)
@@ -213,7 +222,7 @@ class Selector:
         prepared = prepared.cache()
         try:
             trials = validate(prepared, vector, F.col("__key"), self.candidates, self.metric, self.validation)
-            best = estimator(trials[0].model, trials[0].params).fit(prepared)
+            best = fit(trials[0].model, trials[0].params, prepared)
             fn = evaluators.METRICS[self.metric][0]
             on = lambda d: fn(evaluated(predict(best, d, vector)), "y", "p", "s")
             return Selected(best, trials[0].model, trials[0].params, self.metric, trials[0].score, on(prepared), on(test), [(t.model, t.params, t.score) for t in trials], summary)

@@ -78,7 +78,7 @@ def _linear(spark: SparkSession, sf_dir: str):
     from ..operators import vectorizers as V
 
     vectors = V.encode(df, [V.fit(df, "numeric", ["l_quantity", "l_discount"], "Real", track_nulls=False)])
-    return vectors, models.estimator("LinearRegression", {"regParam": 0.0}).fit(models.ready(vectors, "features", "y"))
+    return vectors, models.fit("LinearRegression", {"regParam": 0.0}, models.ready(vectors, "features", "y"))
 
 
 @query("""with t as (select l_quantity::double q, l_discount::double d, l_extendedprice::double y from lineitem),
@@ -91,7 +91,7 @@ def linear_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", F.col("l_extendedprice").alias("y"))
     vectors = V.encode(df, [V.fit(df, "numeric", ["l_quantity", "l_discount"], "Real", track_nulls=False)])
-    model = models.estimator("LinearRegression", {"regParam": 0.0}).fit(models.ready(vectors, "features", "y"))
+    model = models.fit("LinearRegression", {"regParam": 0.0}, models.ready(vectors, "features", "y"))
     q, d = (round(float(c), k) for c, k in zip(model.coefficients, (3, 2), strict=True))
     off = F.abs(F.element_at("prediction", F.lit("prediction")) - F.col("y"))
     out = models.predict(model, vectors, "features").agg(F.round(F.avg(off), 2).alias("mean_error"), F.count("*").alias("n"))

@@ -154,7 +154,7 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, params in _LEARNERS.items():
         classes = "Class" in name or name in models.CLASSIFIERS
         label = "y" if classes else "z"
-        model = models.estimator(name, params).fit(models.ready(df, "v", label))
+        model = models.fit(name, params, models.ready(df, "v", label))
         p = F.element_at("prediction", F.lit("prediction"))
         got = models.predict(model, df, "v")
         right = F.avg((p == F.col("y")).cast("double")) if classes else 1 - F.avg((p - F.col("z")) ** 2) / F.var_pop("z")

@@ -210,7 +210,7 @@ def test_local_learners_score_as_spark_does(spark):
     made |= {n: ({}, "line") for n in ("LinearRegression", "DecisionTreeRegressor", "RandomForestRegressor", "GBTRegressor", "GeneralizedLinearRegression")}
     cases = [(n, *c) for n, c in made.items()] + [("LogisticRegression", {}, "three"), ("NaiveBayes", {"modelType": "gaussian"}, "three"), ("RandomForestClassifier", {"numTrees": 3}, "three"), ("GeneralizedLinearRegression", {"family": "poisson"}, "line")]
     for name, params, label in cases:
-        model = models.estimator(name, params).fit(models.ready(df, "v", label))
+        model = models.fit(name, params, models.ready(df, "v", label))
         local = scorer_of(model)
         for r in models.predict(model, df, "v").collect():
             got = local(r["v"])
@@ -231,3 +231,17 @@ def test_local_encoders_encode_as_spark_does(spark):
     for e in encoders:
         for r in V.encode(df, [e]).collect():
             assert _encoder(e.to_json(), r.asDict()) == pytest.approx(list(r["features"])), (e.kind, r)
+
+
+def test_models_score_after_an_observation(spark):
+    """An observation makes the session's manager of observations, which no task can be sent."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    df = spark.createDataFrame([([float(i), float(i % 3)], float(i > 10), 2.0 * i) for i in range(40)], "v array<double>, y double, z double")
+    for name in (*models.CLASSIFIERS, *models.REGRESSORS):
+        params = {"layers": [2, 2], "maxIter": 5} if name.startswith("Multilayer") else {}
+        model = models.fit(name, params, models.ready(df, "v", "y" if name in models.CLASSIFIERS else "z"))
+        assert models.predict(model, df, "v").where(F.element_at("prediction", F.lit("prediction")).isNotNull()).count() == 40
