@@ -12,7 +12,32 @@ from ..plans import features as G
 from .base import query, r6, table
 
 
-@query()
+def _listed(language: str) -> str:
+    """The stop words that Spark brings for a language, as a list of SQL; read from its jar, for there is no session yet."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    with zipfile.ZipFile(jar) as z:
+        words = z.read(f"org/apache/spark/ml/feature/stopwords/{text.LANGUAGES[language]}.txt").decode().split()
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _languages_sql() -> str | None:
+    codes = ("de", "en", "es", "fr")
+    try:
+        hits = ", ".join(f"len(list_filter(w, lambda x: x in ({_listed(k)}))) {k}" for k in codes)
+    except (IndexError, OSError, KeyError):  # a Spark that is installed otherwise
+        return None
+    best = f"greatest({', '.join(codes)})"
+    return rf"""with t as (select doc_id, regexp_extract_all(lower(text), '[\pL'']+') w from documents), h as (select doc_id, {hits} from t)
+  select doc_id, case when {best} > 0 then case {best} {" ".join(f"when {k} then '{k}'" for k in codes)} end end as language, case when {best} > 0 then round({best} / ({" + ".join(codes)}), 6) end confidence from h"""
+
+
+@query(_languages_sql())
 def detect_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest language of each document by the stop words of fourteen languages."""
     found = table(spark, sf_dir, "documents").select("doc_id", text.detect_languages(F.col("text"), ("de", "en", "es", "fr")).alias("m"))
