@@ -26,7 +26,7 @@ GROUP = 8192
 #: Bins with more than this share of the capacity free are packed again across groups.
 OPEN = 0.02
 #: Chunks of text whose ids a worker keeps.
-CACHE = 1_000_000
+CACHE = 500_000
 #: ASCII characters that are neither letters nor digits nor white space: to the tokenizer, a run of them behind letters is a word.
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
