@@ -114,9 +114,10 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     parts = [(r if b"<|" in r else r.translate(_LOWER)).split() for r in raw]
     missing = set().union(*parts).difference(known)
-    if len(known) + len(missing) > CACHE:
+    if len(known) + len(missing) > CACHE:  # what these texts have too is worth keeping
+        kept = {p: known[p] for p in set().union(*parts) if p in known}
         known.clear()
-        missing = set().union(*parts)
+        known.update(kept)
     learn_parts(list(missing), known, path)
     return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
