@@ -142,17 +142,32 @@ class Moments:
     corr: np.ndarray
 
 
+def _means(rows: DataFrame, values: Column, n: int, running: np.ndarray) -> np.ndarray:
+    """Means by sums: Summarizer's running means drift, as they are rounded at every row. Values are added as their first 24
+    bits and the rest apart, so that the sums of numbers of like size are exact, or nearly so, over millions of rows. Beyond
+    the range of floats the running means stay."""
+    x = F.col("x")
+    high = x.cast("float").cast("double")
+    parts = rows.select(F.posexplode(values).alias("i", "x")).where(x != 0).groupBy("i").agg(F.sum(high).alias("high"), F.sum(x - high).alias("low"))
+    sums = np.zeros(len(running))
+    for r in parts.collect():
+        sums[r["i"]] = r["high"] + r["low"]
+    return np.where(np.isfinite(sums), sums / n, running)
+
+
 def moments(df: DataFrame, vector: str, label: str, size: int, method: str = "pearson", label_only: bool = False) -> Moments:
     """Sums are added up in the JVM by tree aggregations, so that the driver gets one result, whatever the number of
     partitions: the matrix of all correlations, or with label_only a row. What does not vary has no correlation (nan)."""
     k = size + 1
     y = F.col(label).cast("double")
-    rows = df.where(y.isNotNull()).select(array_to_vector(F.concat(F.col(vector), F.array(y))).alias("v"), F.col(vector).alias("x"), y.alias("y"))
+    values = F.concat(F.col(vector), F.array(y))
+    rows = df.where(y.isNotNull()).select(array_to_vector(values).alias("v"), F.col(vector).alias("x"), y.alias("y"))
     s = rows.agg(Summarizer.metrics("count", "mean", "variance", "min", "max").summary(F.col("v")).alias("s")).first()["s"]
     if not s or not s["count"]:
         none = np.zeros(k)
         return Moments(0, none, none, np.full(k, np.inf), np.full(k, -np.inf), np.full((1 if label_only else k, k), math.nan))
-    n, mean, variance = s["count"], s["mean"].toArray(), s["variance"].toArray()
+    n, variance = s["count"], s["variance"].toArray()
+    mean = _means(df.where(y.isNotNull()), values, n, s["mean"].toArray())
     if n < 2:
         corr = np.full((1 if label_only else k, k), math.nan)
     elif label_only and method == "pearson":

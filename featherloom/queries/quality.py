@@ -65,8 +65,10 @@ def sanity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").select(F.when(q > 25, 1.0).otherwise(0.0).alias("y"), q.alias("q"), F.col("l_discount").alias("d"), kind.alias("k"))
     encoders = [V.fit(df, "numeric", ["q", "d"], "Real", track_nulls=False), V.fit(df, "pivot", ["k"], "PickList", track_nulls=False)]
     found, _ = quality.sanity_check(V.encode(df, encoders), "features", "y")
-    rows = [(s.name, round(s.mean, 4), round(s.variance, 4), round(s.correlation, 6), any("association" in r for r in s.reasons)) for s in found if s.indicator != V.OTHER]
-    return spark.createDataFrame(rows, "slot string, mean double, variance double, correlation double, leaks boolean")
+    rows = [(s.name, s.mean, s.variance, s.correlation, any("association" in r for r in s.reasons)) for s in found if s.indicator != V.OTHER]
+    out = spark.createDataFrame(rows, "slot string, mean double, variance double, correlation double, leaks boolean")
+    # rounded half up, as in SQL; Python's round goes by the binary value
+    return out.select("slot", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"), r6(F.col("correlation")).alias("correlation"), "leaks")
 
 
 @query("""with l as (select label, unnest(embedding)::double v, unnest(range(len(embedding))) i from embeddings), s as (select i, var_samp(v) v from l group by 1) select cast(i as integer) slot from s where v > 0.0155""")

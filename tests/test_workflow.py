@@ -181,6 +181,15 @@ def test_sanity_check_removes_leaks(spark):
     assert abs(ranks[0].correlation - 1) < 1e-9
 
 
+def test_means_do_not_drift(spark):
+    columns = [[float(i * 7919 % 50 + 1) for i in range(60000)], [(i * 7919 % 11) / 100 for i in range(60000)], [float(i * 7919 % 101 - 49) for i in range(60000)], [0.0] * 60000, [1e300] * 60000]
+    df = spark.createDataFrame([(list(x), float(i % 2)) for i, x in enumerate(zip(*columns, strict=True))], "v array<double>, y double").coalesce(1)
+    got = quality.moments(df, "v", "y", 5, label_only=True).mean
+    assert got[0] == sum(columns[0]) / 60000 and got[2] == sum(columns[2]) / 60000 and got[3] == 0 and got[5] == 0.5
+    assert abs(got[1] - math.fsum(columns[1]) / 60000) <= math.ulp(got[1])
+    assert math.isclose(got[4], 1e300)
+
+
 def test_table_layout():
     assert insights.ascii_table(["a"], [["long"]], align="right").splitlines()[1] == "|    a |"
 
