@@ -113,6 +113,9 @@ VN 84 Vietnam
 ZA 27 South Africa
 """
 REGIONS = {code: (number, name) for code, number, name in (line.split(" ", 2) for line in _REGIONS.strip().splitlines())}
+_PAIRS = {k: sorted({n.upper()[i : i + 2] for i in range(len(n) - 1)}) for k, (_, n) in REGIONS.items()}
+#: Names of regions that no other has the letter pairs of: a text that is such a name is nearest to it.
+_NAMED = {k: n.upper() for k, (_, n) in REGIONS.items() if list(_PAIRS.values()).count(_PAIRS[k]) == 1}
 #: Country calling codes; a phone in international form is valid when it starts with one and has a fitting length.
 CALLING_CODES = {k: number for k, (number, _) in REGIONS.items()}
 # First bytes of file formats.
@@ -186,21 +189,18 @@ def region_of(c: Column, default: str = "US") -> Column:
     """The region that a text names: a code as it is, otherwise the region whose name shares the largest part of its pairs of
     letters with the text (Jaccard; ties by code); the default for nulls and for texts that share none."""
     code = F.upper(F.trim(c))
-
-    def pairs(x: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2))))
-
-    names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n.upper()).alias("n")) for k, (_, n) in sorted(REGIONS.items())])
+    # the names' pairs are literals, so that a row has to make only those of its own text
+    names = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, p)).alias("p"), F.lit(len(p)).alias("n")) for k, p in sorted(_PAIRS.items())])
 
     def nearest(own: Column) -> Column:
         def near(r: Column) -> Column:
-            theirs = pairs(r["n"])
-            return F.struct((-F.size(F.array_intersect(own, theirs)) / F.size(F.array_union(own, theirs))).alias("d"), r["k"].alias("k"))
+            return let(F.size(F.array_intersect(own, r["p"])), lambda both: F.struct((-both / (F.size(own) + r["n"] - both)).alias("d"), r["k"].alias("k")))
 
-        best = F.array_min(F.transform(names, near))
-        return F.when(best["d"] < 0, best["k"]).otherwise(F.lit(default))
+        return let(F.array_min(F.transform(names, near)), lambda best: F.when(best["d"] < 0, best["k"]).otherwise(F.lit(default)))
 
-    return F.when(code.isNull(), F.lit(default)).when(code.isin(*REGIONS), code).otherwise(let(pairs(code), nearest))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(code) - 1, F.lit(1))), lambda i: F.substring(code, i, F.lit(2))))
+    named = F.element_at(F.create_map(*[F.lit(x) for k, n in _NAMED.items() for x in (n, k)]), code)
+    return F.when(code.isNull(), F.lit(default)).when(code.isin(*REGIONS), code).when(code.isin(*_NAMED.values()), named).otherwise(let(own, nearest))
 
 
 def _calling_code(region: str | Column) -> Column:
@@ -212,13 +212,22 @@ def _calling_code(region: str | Column) -> Column:
 def parse_phone(c: Column, region: str | Column = "US", strict: bool = False) -> Column:
     """International form +<code><number>, or null. Without a leading + the region's code is taken, a region being a code or a
     column of codes or names; North American numbers have ten digits and begin with 2 to 9, others 7 to 12."""
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    code = _calling_code(region)
-    full = F.when(F.ltrim(c).startswith("+"), digits).when((code == "1") & (F.length(digits) == 11) & digits.startswith("1"), digits).otherwise(F.concat(code, digits))
     others = "|".join(sorted(set(CALLING_CODES.values()) - {"1"}))
-    fits = full.rlike(rf"^(?:1[2-9]\d{{2}}[2-9]\d{{6}}|(?:{others})\d{{7,12}})$")
-    clean = c.rlike(r"^[\s+()./\d-]+$") if strict else F.lit(True)
-    return F.when((F.length(c) >= 2) & clean & fits, F.concat(F.lit("+"), full))
+
+    def completed(c: Column, code: Column) -> Column:
+        digits = F.regexp_replace(c, "[^0-9]", "")
+        return F.when(F.ltrim(c).startswith("+"), digits).when((code == "1") & (F.length(digits) == 11) & digits.startswith("1"), digits).otherwise(F.concat(code, digits))
+
+    def checked(c: Column, full: Column) -> Column:
+        fits = full.rlike(rf"^(?:1[2-9]\d{{2}}[2-9]\d{{6}}|(?:{others})\d{{7,12}})$")
+        clean = c.rlike(r"^[\s+()./\d-]+$") if strict else F.lit(True)
+        return F.when((F.length(c) >= 2) & clean & fits, F.concat(F.lit("+"), full))
+
+    code = _calling_code(region)
+    if isinstance(region, str):
+        return checked(c, completed(c, code))
+    # a region that is looked up is named several times, and is looked up once
+    return let(F.struct(c.alias("c"), code.alias("code")), lambda x: let(completed(x["c"], x["code"]), lambda full: checked(x["c"], full)))
 
 
 def is_valid_phone(c: Column, region: str | Column = "US", strict: bool = False) -> Column:
