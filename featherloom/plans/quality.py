@@ -18,10 +18,6 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def sample_fraction(n: int, check: float = 1.0, lower: int = 1_000, upper: int = 1_000_000) -> float:
-    return min(1.0, max(min(check, upper / n), lower / n)) if n else 1.0
-
-
 def contingency(df: DataFrame, group: str, label: str) -> DataFrame:
     """(value, label, n)."""
     return df.groupBy(F.col(group).alias("value"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
@@ -97,7 +93,7 @@ def vary_enough(df: DataFrame, vector: str, least: float = 1e-5) -> list[int]:
 
 @dataclass(frozen=True)
 class CheckParams:
-    check_sample: float = 1.0
+    check_sample: float = 1.0  # all rows, unless a share of them is asked for
     sample_seed: int = 42
     max_correlation: float = 0.95
     min_correlation: float = 0.0
@@ -187,10 +183,9 @@ def moments(df: DataFrame, vector: str, label: str, size: int, method: str = "pe
 def sanity_check(df: DataFrame, vector: str, label: str, params: CheckParams = CheckParams()) -> tuple[list[SlotStatistics], list[int]]:
     """Statistics of every slot with the reasons to remove it, and the slots to keep (all unless params.remove_bad)."""
     slots = df.schema[vector].metadata["slots"]
-    n = df.count()
-    f = sample_fraction(n, params.check_sample)
-    if f < 1:
-        df = df.sample(False, f, params.sample_seed)
+    if params.check_sample < 1:
+        n = df.count()
+        df = df.sample(False, min(1.0, max(params.check_sample, 1_000 / n)), params.sample_seed) if n else df
     m = moments(df, vector, label, len(slots), params.correlation, params.label_only)
     corr = m.corr
     if params.skip_hashed:

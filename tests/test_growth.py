@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from featherloom.functions import net
+from featherloom.operators import vectorizers as V
+from featherloom.plans import quality
 
 
 def test_region_is_looked_up_once_and_as_before(spark):
@@ -25,3 +27,11 @@ def test_region_is_looked_up_once_and_as_before(spark):
     assert names.where(net.region_of(F.col("r")) != F.col("k")).count() == 0
     plan = df.select(net.parse_phone(F.concat(F.lit("301234567"), F.col("r")), F.col("r")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect(") == 1 and "array_union(" not in plan
+
+
+def test_sanity_check_goes_by_all_rows(spark):
+    n = 1_200_000
+    df = spark.range(n).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("y"))
+    found, _ = quality.sanity_check(V.encode(df, [V.fit(df, "numeric", ["x"], "Real", track_nulls=False)]), "features", "y")
+    assert (found[0].mean, found[0].least, found[0].greatest) == ((n - 1) / 2, 0.0, n - 1.0)
+    assert abs(found[0].variance / (n * (n + 1) / 12) - 1) < 1e-9
