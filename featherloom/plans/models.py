@@ -141,9 +141,13 @@ def evaluated(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     return df.select(F.col(LABEL).alias("y"), F.element_at(m, F.lit("prediction")).alias("p"), s.alias("s"))
 
 
-def measure(metric: str, model, df: DataFrame, vector: str) -> float:
-    fn = evaluators.METRICS[metric][0]
-    return fn(evaluated(predict(model, df, vector)), "y", "p", "s")
+def measure(metric: str, model, df: DataFrame) -> float:
+    """A metric of a model on a frame made ready. Scores are taken from the model's columns: a map of them for each row costs more
+    than the model."""
+    made = model.transform(df)
+    s = [F.get(vector_to_array(c), F.lit(1)) for c in ("probability", "rawPrediction") if c in made.columns]
+    p = F.col("prediction").cast("double")
+    return evaluators.METRICS[metric][0](made.select(F.col(LABEL).alias("y"), p.alias("p"), F.coalesce(*s, p).alias("s")), "y", "p", "s")
 
 
 @dataclass
@@ -169,10 +173,11 @@ class Validation:
 
     def parts(self, df: DataFrame, key: Column) -> list[tuple[DataFrame, DataFrame]]:
         k = F.concat_ws("#", F.col(LABEL).cast("string"), key.cast("string")) if self.stratified else key
+        seed = splitters.apart(self.seed, "folds")
         if self.folds > 1:
-            dealt = splitters.folds(df, k, self.folds, self.seed)
+            dealt = splitters.folds(df, k, self.folds, seed)
             return [(dealt.where(F.col("fold") != i), dealt.where(F.col("fold") == i)) for i in range(self.folds)]
-        u = splitters.unit_hash(k, self.seed)
+        u = splitters.unit_hash(k, seed)
         return [(df.where(u < self.ratio), df.where(u >= self.ratio))]
 
 
@@ -187,7 +192,7 @@ def validate(df: DataFrame, vector: str, key: Column, candidates: list[tuple[str
         trial, i = job
         try:
             model = fit(trial.model, trial.params, parts[i][0])
-            return job, measure(metric, model, parts[i][1], vector), None
+            return job, measure(metric, model, parts[i][1]), None
         except Exception as e:  # noqa: BLE001 - a grid point that cannot be fitted is left out
             log.warning("%s %s failed", trial.model, trial.params, exc_info=True)
             return job, None, e
@@ -217,14 +222,13 @@ class Selector:
     def fit(self, df: DataFrame, vector: str, label: str, key: Column) -> Selected:
         data = ready(df, vector, label).where(F.col(LABEL).isNotNull()).withColumn("__key", key.cast("string"))
         held = getattr(self.splitter, "reserve", 0.1)
-        train, test = splitters.hold_out(data, F.col("__key"), held, self.validation.seed)
+        train, test = splitters.hold_out(data, F.col("__key"), held, splitters.apart(self.validation.seed, "test"))
         prepared, summary = self.splitter.prepare(train, F.col("__key"), LABEL)
         prepared = prepared.cache()
         try:
             trials = validate(prepared, vector, F.col("__key"), self.candidates, self.metric, self.validation)
             best = fit(trials[0].model, trials[0].params, prepared)
-            fn = evaluators.METRICS[self.metric][0]
-            on = lambda d: fn(evaluated(predict(best, d, vector)), "y", "p", "s")
+            on = lambda d: measure(self.metric, best, d)
             return Selected(best, trials[0].model, trials[0].params, self.metric, trials[0].score, on(prepared), on(test), [(t.model, t.params, t.score) for t in trials], summary)
         finally:
             prepared.unpersist()

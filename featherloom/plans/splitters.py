@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,19 +11,24 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
-def unit_hash(key: Column, seed: int = SEED) -> Column:
+def apart(seed: int | str, use: str) -> str:
+    """A seed of its own for one use: rows that a hash has drawn are all on one side of a second draw by the same hash."""
+    return f"{seed} {use}"
+
+
+def unit_hash(key: Column, seed: int | str = SEED) -> Column:
     """A number in [0, 1) that the key and the seed decide."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def hold_out(df: DataFrame, key: Column, fraction: float = 0.1, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def hold_out(df: DataFrame, key: Column, fraction: float = 0.1, seed: int | str = SEED) -> tuple[DataFrame, DataFrame]:
     """(training, test)."""
     u = unit_hash(key, seed)
     return df.where(u >= fraction), df.where(u < fraction)
 
 
-def folds(df: DataFrame, key: Column, k: int = 3, seed: int = SEED, name: str = "fold") -> DataFrame:
+def folds(df: DataFrame, key: Column, k: int = 3, seed: int | str = SEED, name: str = "fold") -> DataFrame:
     return df.withColumn(name, F.floor(unit_hash(key, seed) * k).cast("int"))
 
 
@@ -38,10 +44,10 @@ def sampled(df: DataFrame, key: Column, fraction: float, seed: int = SEED) -> Da
 
 @dataclass(frozen=True)
 class DataSplitter:
-    """Samples down to a greatest number of training rows."""
+    """Takes all training rows, or samples down to a greatest number of them if one is given."""
 
     reserve: float = 0.1
-    max_rows: int = 1_000_000
+    max_rows: float = math.inf
     seed: int = SEED
 
     def prepare(self, df: DataFrame, key: Column, label: str) -> tuple[DataFrame, dict]:
@@ -69,7 +75,7 @@ class DataBalancer:
 
     fraction: float = 0.1
     reserve: float = 0.1
-    max_rows: int = 1_000_000
+    max_rows: float = math.inf
     seed: int = SEED
 
     def prepare(self, df: DataFrame, key: Column, label: str) -> tuple[DataFrame, dict]:
@@ -93,7 +99,7 @@ class DataCutter:
     max_labels: int = 100
     min_fraction: float = 0.0
     reserve: float = 0.1
-    max_rows: int = 1_000_000
+    max_rows: float = math.inf
     seed: int = SEED
 
     def kept(self, df: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from featherloom.functions import net
 from featherloom.operators import vectorizers as V
-from featherloom.plans import quality
+from featherloom.plans import models, quality, splitters
 
 
 def test_region_is_looked_up_once_and_as_before(spark):
@@ -35,3 +35,19 @@ def test_sanity_check_goes_by_all_rows(spark):
     found, _ = quality.sanity_check(V.encode(df, [V.fit(df, "numeric", ["x"], "Real", track_nulls=False)]), "features", "y")
     assert (found[0].mean, found[0].least, found[0].greatest) == ((n - 1) / 2, 0.0, n - 1.0)
     assert abs(found[0].variance / (n * (n + 1) / 12) - 1) < 1e-9
+
+
+def test_sampled_rows_are_in_all_folds(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 2).cast("double").alias("y"), F.array((F.col("id") % 2).cast("double")).alias("v"))
+    tree = {"DecisionTreeClassifier": {"maxDepth": [1]}}
+    # a sample of an eighth of the rows, which had all been in the first fold
+    chosen = models.binary_selector(["DecisionTreeClassifier"], tree, splitter=splitters.DataBalancer(max_rows=340), folds=2).fit(df, "v", "y", F.col("key"))
+    assert chosen.validation_score == 1.0 and 0.11 < chosen.preparation["down"] < 0.14
+    parts = models.Validation(folds=4).parts(splitters.sampled(df, F.col("key"), 0.1), F.col("key"))
+    assert all(test.count() > 40 for _, test in parts)
+
+
+def test_all_rows_train(spark):
+    df = spark.range(1_100_000).select("id", (F.col("id") % 2).alias("y"))
+    for splitter in (splitters.DataSplitter(), splitters.DataBalancer(), splitters.DataCutter()):
+        assert splitter.prepare(df, F.col("id"), "y")[0].count() == 1_100_000
