@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from featherloom.functions import net
+from featherloom.operators import scalers
 from featherloom.operators import vectorizers as V
 from featherloom.plans import models, quality, splitters
 
@@ -51,3 +52,18 @@ def test_all_rows_train(spark):
     df = spark.range(1_100_000).select("id", (F.col("id") % 2).alias("y"))
     for splitter in (splitters.DataSplitter(), splitters.DataBalancer(), splitters.DataCutter()):
         assert splitter.prepare(df, F.col("id"), "y")[0].count() == 1_100_000
+
+
+def test_percentiles_are_exact(spark):
+    # 60000 distinct values, a tenth of the rows one value, and nulls
+    x = F.when(F.col("id") % 10 == 0, 777.0).when(F.col("id") % 11 != 0, F.pow((F.col("id") * 7919 % 60013) / 100.0, 2))
+    df = spark.range(60_000).select(x.alias("x"))
+    values = sorted(r["x"] for r in df.where("x is not null").collect())
+    n = len(values)
+    want = sorted({values[-(-n * i // 100) - 1] for i in range(1, 100)})
+    assert scalers.fit_percentiles(df, F.col("x"), 100) == want
+    ranks = [1, 2, n // 3, n // 3, n - 1, n]
+    # with quantiles that are far off
+    assert scalers.at_ranks(df, F.col("x"), lambda _: ranks, 3) == [values[r - 1] for r in ranks]
+    assert scalers.at_ranks(df, F.col("x"), lambda _: ranks, 10_000) == [values[r - 1] for r in ranks]
+    assert scalers.fit_percentiles(df.limit(0), F.col("x")) == []
