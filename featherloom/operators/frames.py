@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scalers import at_ranks
+
 
 def holds_for(df: DataFrame, condition: Column, how: str = "all") -> bool:
     """Whether a condition is true of all rows, of any, or of none; null counts as false."""
@@ -45,6 +47,12 @@ def histogram(df: DataFrame, value: Column, bins: int = 100) -> list[tuple[float
     return [(r["x"], r["y"]) for r in found]
 
 
+def median(df: DataFrame, value: Column) -> float | None:
+    """The middle value, or the mean of the two in the middle; F.median brings all distinct values to one task."""
+    middle = at_ranks(df, value, lambda n: [(n + 1) // 2, n // 2 + 1])
+    return sum(middle) / 2 if middle else None
+
+
 def density(bins: list[tuple[float, float]], x: float) -> float:
     """Estimated share of values at or below x, linear between the centers."""
     total = sum(n for _, n in bins)

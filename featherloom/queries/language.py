@@ -137,5 +137,5 @@ def adaptive_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A histogram of adaptive bins holds all rows, and half of them below the median."""
     df = table(spark, sf_dir, "lineitem")
     bins = frames.histogram(df, F.col("l_extendedprice"), 50)
-    median = df.agg(F.median("l_extendedprice")).first()[0]
+    median = frames.median(df, F.col("l_extendedprice"))
     return spark.createDataFrame([(sum(n for _, n in bins), abs(frames.density(bins, median) - 0.5) < 0.05)], "n double, middle boolean")

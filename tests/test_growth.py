@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from featherloom.functions import net
-from featherloom.operators import scalers
+from featherloom.operators import frames, scalers
 from featherloom.operators import vectorizers as V
 from featherloom.plans import models, quality, splitters
 
@@ -67,3 +67,10 @@ def test_percentiles_are_exact(spark):
     assert scalers.at_ranks(df, F.col("x"), lambda _: ranks, 3) == [values[r - 1] for r in ranks]
     assert scalers.at_ranks(df, F.col("x"), lambda _: ranks, 10_000) == [values[r - 1] for r in ranks]
     assert scalers.fit_percentiles(df.limit(0), F.col("x")) == []
+
+
+def test_median_is_found_without_all_values_in_one_task(spark):
+    df = spark.range(1001).select((F.col("id") * 7919 % 1009).alias("x"))
+    assert frames.median(df, F.col("x")) == df.agg(F.median("x")).first()[0]
+    assert frames.median(df.where("x <> 0"), F.col("x")) == df.where("x <> 0").agg(F.median("x")).first()[0]
+    assert frames.median(df.limit(0), F.col("x")) is None
