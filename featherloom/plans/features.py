@@ -126,18 +126,35 @@ def ml_stage(name: str, params: dict):
     return kind(**ends, **params)
 
 
-def ml_transform(model, name: str, df: DataFrame, source: str, out: str) -> DataFrame:
-    """df with the stage's output; vectors are arrays of doubles outside. An absent list counts as an empty one."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+#: Before the names of vectors that Spark ML has made, as it has made them: often sparse, where the arrays hold all slots.
+SPARSE = "__sparse_"
+
+
+def ml_input(df: DataFrame, name: str, source: str) -> Column:
+    """What a stage takes. An absent list counts as an empty one; a vector that another stage has made is taken as it was made."""
+    from pyspark.ml.functions import array_to_vector
 
-    _, vector_in, vector_out = ML_STAGES[name]
     c = F.col(f"`{source}`")
-    if vector_in:
-        c = array_to_vector(c)
-    elif dict(df.dtypes)[source].startswith("array"):
-        c = F.coalesce(c, F.array().cast("array<string>"))
-    made = model.transform(df.withColumn("__in", c))
-    return made.withColumn(out, vector_to_array("__out") if vector_out else F.col("__out")).drop("__in", "__out")
+    if ML_STAGES[name][1]:
+        return F.col(f"`{SPARSE}{source}`") if SPARSE + source in df.columns else array_to_vector(c)
+    return F.coalesce(c, F.array().cast("array<string>")) if dict(df.dtypes)[source].startswith("array") else c
+
+
+def ml_transform(model, name: str, df: DataFrame, source: str, out: str) -> DataFrame:
+    """df with the stage's output; vectors are arrays of doubles outside, and vectors for the stages after it."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = model.transform(df.withColumn("__in", ml_input(df, name, source)))
+    if ML_STAGES[name][2]:
+        made = made.withColumn(SPARSE + out, F.col("__out")).withColumn(out, vector_to_array("__out"))
+    else:
+        made = made.withColumn(out, F.col("__out"))
+    return made.drop("__in", "__out")
+
+
+def stored_values(name: str) -> Column:
+    """The values that a vector of a Spark ML stage stores, on a frame made with sparse=True: all but zeros where it is sparse."""
+    return F.unwrap_udt(F.col(f"`{SPARSE}{name}`"))["values"]
 
 
 for _name, (_, _, _vector) in ML_STAGES.items():
@@ -206,8 +223,8 @@ class Feature:
         """Tree buckets against a label. The label is read from the training data and is no input when scoring."""
         return self.apply("vectorize", kind="map_tree" if self.ftype.endswith("Map") else "tree", ftype=self.ftype, label=label.name, **options)
 
-    def tfidf(self, terms: int = V.HASHES, min_documents: int = 0, binary: bool = False) -> Feature:
-        return self.apply("tf", numFeatures=terms, binary=binary).apply("idf", minDocFreq=min_documents)
+    def tfidf(self, terms: int = V.HASHES, min_documents: int = 0, binary: bool = False, name: str | None = None) -> Feature:
+        return self.apply("tf", numFeatures=terms, binary=binary).apply("idf", name=name, minDocFreq=min_documents)
 
     def ancestors(self) -> list[Feature]:
         """All features that this one comes from, itself last; a cycle cannot be made."""
@@ -358,11 +375,8 @@ class Workflow:
             state = {"insights": insights.model_insights(chosen, slots), "slots": slots}
             return Fitted(f.name, f.ftype, f.operator, names, {}, state, chosen.model)
         if f.operator in ML_STAGES:
-            from pyspark.ml.functions import array_to_vector
-
             stage = ml_stage(f.operator, f.params)
-            c = F.col(f"`{names[0]}`")
-            c = array_to_vector(c) if ML_STAGES[f.operator][1] else F.coalesce(c, F.array().cast("array<string>")) if TYPES[f.inputs[0].ftype].family == "list" else c
+            c = ml_input(df, f.operator, names[0])
             model = stage.fit(df.select(c.alias("__in"))) if hasattr(stage, "fit") else stage
             return Fitted(f.name, f.ftype, f.operator, names, f.params, {}, model)
         learn = OPERATORS[f.operator].fit
@@ -397,8 +411,9 @@ class WorkflowModel:
     key: str
     filtered: dict
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """All features, on a batch or streaming frame. No action is run. A missing response is null."""
+    def transform(self, df: DataFrame, sparse: bool = False) -> DataFrame:
+        """All features, on a batch or streaming frame. No action is run. A missing response is null. sparse: vectors of Spark ML
+        stages stand beside their arrays, for stored_values."""
         have = set(df.columns)
         cols = [F.col(n).alias(n, metadata={"ftype": t}) if n in have or n not in self.responses else F.lit(None).cast(TYPES[t].spark).alias(n, metadata={"ftype": t}) for n, t in self.raw.items() if n != self.key]
         out = df.select(F.col(self.key), *cols)
@@ -406,7 +421,7 @@ class WorkflowModel:
             out = out.withColumn(n, F.map_filter(n, drift._outside(keys)))
         for layer in self.stages:
             out = apply_layer(out, layer)
-        return out
+        return out if sparse else out.drop(*[c for c in out.columns if c.startswith(SPARSE)])
 
     def score(self, df: DataFrame, keep_raw: bool = False) -> DataFrame:
         out = self.transform(df)

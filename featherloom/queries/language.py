@@ -96,8 +96,8 @@ def count_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term frequency times inverse document frequency, in a hash space that is wide enough for no two words to meet."""
     df, words = _words(spark, sf_dir)
-    out = G.Workflow([words.tfidf(1 << 14).apply("alias", name="v")]).train(df).transform(df)
-    return out.select("key", r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)).alias("weight"))
+    out = G.Workflow([words.tfidf(1 << 14, name="v")]).train(df).transform(df, sparse=True)
+    return out.select("key", r6(F.aggregate(G.stored_values("v"), F.lit(0.0), lambda a, x: a + x)).alias("weight"))
 
 
 @query("""select cast(p_partkey as varchar) as key, 4 as dimensions, true as means from part""")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from featherloom.functions import net
 from featherloom.operators import frames, scalers
 from featherloom.operators import vectorizers as V
+from featherloom.plans import features as G
 from featherloom.plans import models, quality, splitters
 
 
@@ -74,3 +75,14 @@ def test_median_is_found_without_all_values_in_one_task(spark):
     assert frames.median(df, F.col("x")) == df.agg(F.median("x")).first()[0]
     assert frames.median(df.where("x <> 0"), F.col("x")) == df.where("x <> 0").agg(F.median("x")).first()[0]
     assert frames.median(df.limit(0), F.col("x")) is None
+
+
+def test_vectors_between_stages_stay_sparse(spark):
+    df = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["y"]), ("c", None)], "key string, words array<string>")
+    model = G.Workflow([G.raw("words", "TextList").tfidf(1 << 14, name="v")]).train(df)
+    out = model.transform(df, sparse=True).select("key", F.size(G.stored_values("v")).alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("all"), F.aggregate(G.stored_values("v"), F.lit(0.0), lambda a, x: a + x).alias("stored"))
+    rows = {r["key"]: r for r in out.collect()}
+    assert [rows[k]["n"] for k in "abc"] == [2, 1, 0] and all(r["all"] == r["stored"] for r in rows.values()) and rows["a"]["stored"] > rows["b"]["stored"] > 0
+    assert set(model.transform(df).columns) == {"key", "words", "v", *[s.name for layer in model.stages for s in layer]}
+    plan = model.transform(df).select("v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_to_vector" not in plan and plan.count("UDF(") <= 3
