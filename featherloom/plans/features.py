@@ -140,6 +140,12 @@ def ml_input(df: DataFrame, name: str, source: str) -> Column:
     return F.coalesce(c, F.array().cast("array<string>")) if dict(df.dtypes)[source].startswith("array") else c
 
 
+def spread(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df in tasks of so many rows at most, for fits that keep what they read: files that compress well are read by few tasks."""
+    parts = -(-df.count() // rows)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
+
+
 def ml_transform(model, name: str, df: DataFrame, source: str, out: str) -> DataFrame:
     """df with the stage's output; vectors are arrays of doubles outside, and vectors for the stages after it."""
     from pyspark.ml.functions import vector_to_array
@@ -377,7 +383,8 @@ class Workflow:
         if f.operator in ML_STAGES:
             stage = ml_stage(f.operator, f.params)
             c = ml_input(df, f.operator, names[0])
-            model = stage.fit(df.select(c.alias("__in"))) if hasattr(stage, "fit") else stage
+            rows = df.select(c.alias("__in"))
+            model = stage.fit(spread(rows) if f.operator == "lda" else rows) if hasattr(stage, "fit") else stage
             return Fitted(f.name, f.ftype, f.operator, names, f.params, {}, model)
         learn = OPERATORS[f.operator].fit
         return Fitted(f.name, f.ftype, f.operator, names, f.params, learn(df, *names, **f.params) if learn else {})

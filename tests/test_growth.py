@@ -86,3 +86,10 @@ def test_vectors_between_stages_stay_sparse(spark):
     assert set(model.transform(df).columns) == {"key", "words", "v", *[s.name for layer in model.stages for s in layer]}
     plan = model.transform(df).select("v")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_to_vector" not in plan and plan.count("UDF(") <= 3
+
+
+def test_topics_are_fitted_on_tasks_of_bounded_rows(spark):
+    df = spark.range(500_000).coalesce(1)
+    sizes = [r[0] for r in G.spread(df, 50_000).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 500_000 and max(sizes) <= 60_000
+    assert G.spread(df, 500_000) is df
