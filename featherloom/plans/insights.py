@@ -12,6 +12,8 @@ from . import models
 from .quality import SlotStatistics
 
 TOP_K = 20
+#: Decimals by which two differences of scores are told apart.
+TIE_DIGITS = 8
 
 
 def contributions(model, size: int) -> list[float]:
@@ -61,7 +63,7 @@ def ascii_table(columns: list[str], rows: list[list], name: str = "", align: str
 
 def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_K, groups: list[str] | None = None, by_sign: bool = False, average: bool = False) -> DataFrame:
     """(key, insights): for each record the slots, or groups of slots (hashed texts, dates), whose absence moves the score most:
-    array of struct(slot, difference) of the top_k by size, or with by_sign of the top_k of each sign. A group's slots are left
+    array of struct(slot, difference) of the top_k by size (ties by the slots' places), or with by_sign of the top_k of each sign. A group's slots are left
     out together; with `average` one by one, and the group has the mean of its active slots.
 
     Every active slot gives one variant of the record; variants are scored by the model like rows, so that nothing is
@@ -85,10 +87,12 @@ def leave_one_out(model, df: DataFrame, vector: str, key: str, top_k: int = TOP_
         scored = scored.withColumn("g", F.when(F.col("g") < 0, -1).otherwise(F.get(group_of, F.col("g")))).groupBy(key, "g").agg(F.avg("score").alias("score"))
     parts = scored.groupBy(key).agg(whole.alias("own"), F.collect_list(F.when(F.col("g") >= 0, F.struct("g", "score"))).alias("parts"))
     label = F.array(*[F.lit(n) for n in order])
-    moved = F.transform("parts", lambda p: F.struct((F.col("own") - p["score"]).alias("d"), F.get(label, p["g"]).alias("slot")))
+    moved = F.transform("parts", lambda p: F.struct((F.col("own") - p["score"]).alias("d"), p["g"].alias("g"), F.get(label, p["g"]).alias("slot")))
 
     def best(x, sign: int):
-        ordered = F.array_sort(F.transform(x, lambda e: F.struct((-F.abs(e["d"])).alias("a"), e["slot"].alias("slot"), e["d"].alias("d"))))
+        # what differs by less is rounding of the fit and of the scores: such slots go by their place in the vector
+        size = lambda d: -F.round(F.abs(d), TIE_DIGITS)
+        ordered = F.array_sort(F.transform(x, lambda e: F.struct(size(e["d"]).alias("a"), e["g"].alias("g"), e["slot"].alias("slot"), e["d"].alias("d"))))
         kept = F.filter(ordered, lambda e: e["d"] * sign > 0) if sign else ordered
         return F.transform(F.slice(kept, 1, top_k), lambda e: F.struct(e["slot"].alias("slot"), e["d"].alias("difference")))
 

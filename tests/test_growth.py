@@ -6,7 +6,7 @@ from featherloom.functions import net
 from featherloom.operators import frames, scalers
 from featherloom.operators import vectorizers as V
 from featherloom.plans import features as G
-from featherloom.plans import models, quality, splitters
+from featherloom.plans import insights, models, quality, splitters
 
 
 def test_region_is_looked_up_once_and_as_before(spark):
@@ -93,3 +93,13 @@ def test_topics_are_fitted_on_tasks_of_bounded_rows(spark):
     sizes = [r[0] for r in G.spread(df, 50_000).groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 500_000 and max(sizes) <= 60_000
     assert G.spread(df, 500_000) is df
+
+
+def test_slots_that_move_alike_go_by_their_place(spark):
+    """Two slots of equal weight but for the rounding of a fit, the later one's name coming first."""
+    rows = [(str(i), float(i % 7 + 1), float(i % 7 + 1 if i % 2 else i % 5 + 1)) for i in range(140)]
+    df = spark.createDataFrame(rows, "key string, z double, a double").withColumn("y", F.col("z") * 3.3 - F.col("a") * (3.3 + 2e-11) + 5)
+    vectors = V.encode(df, [V.fit(df, "numeric", ["z", "a"], "Real", track_nulls=False)])
+    model = models.fit("LinearRegression", {"regParam": 0.0}, models.ready(vectors, "features", "y"))
+    top = insights.leave_one_out(model, vectors.where("z = a"), "features", "key", top_k=1).select(F.inline("insights"))
+    assert {r["slot"] for r in top.collect()} == {"z"}
